@@ -19,13 +19,15 @@ from tracewright.llm.common import Tables
 WINDOW = 13
 GRAM = 7
 BROADCAST_ROWS = 200_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: ASCII characters that end a word become spaces; A-Z become a-z.
+_ENDS = "".join(map(chr, [*range(0x20), *range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+_FROM = _ENDS + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TO = " " * len(_ENDS) + "abcdefghijklmnopqrstuvwxyz"
 
 
 def bench_words(text: Column) -> Column:
     """Lower-cased A-Z, runs of digits, letters and everything beyond ASCII; a null text has none."""
-    return F.filter(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), _GAP), lambda w: w != "")
+    return F.filter(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _FROM, _TO), " "), lambda w: w != "")
 
 
 def _bound(value: Column, f) -> Column:  # noqa: ANN001
@@ -85,17 +87,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         marks = marks.unionByName(
             items.where(F.size("item_words") == m).select(F.explode(gram_hashes(F.col("item_words"), m)).alias("fp"))
         )
-    marks = marks.distinct()
+    marks = tables.keep(marks.distinct(), "marks")
     if marks.count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
 
+    def kept(words: Column) -> Column:
+        return F.concat(winnow(words), *[gram_hashes(words, m) for m in short_sizes]) if short_sizes else winnow(words)
+
+    # the one pass over all texts: a row with the word count (no hash), and one for each kept hash of the benchmark's
     words = bench_words(F.col("text"))
-    fps = winnow(words)
-    if short_sizes:
-        fps = _bound(words, lambda w: F.concat(winnow(w), *[gram_hashes(w, m) for m in short_sizes]))
-    counted = rows.select("doc_id", "key", F.size(words).cast("long").alias("n_words"))
-    # suspects: texts that share a kept hash
-    suspects = rows.select("key", F.explode(fps).alias("fp")).join(marks, "fp", "left_semi").select("key").distinct()
+    none = F.array(F.lit(None).cast("bigint"))
+    judged = (
+        rows.select("doc_id", "key", _bound(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.concat(none, kept(w)).alias("fps"))).alias("r"))
+        .select("doc_id", "key", "r.n_words", F.explode("r.fps").alias("fp"))
+        .join(marks.withColumn("known", F.lit(True)), "fp", "left")
+        .where("fp is null or known")
+        .select("doc_id", "key", "n_words", F.col("fp").isNotNull().alias("suspect"))
+    )
+    judged = tables.keep(judged, "judged")
+    counted = judged.where("not suspect").select("doc_id", "key", "n_words")
+    suspects = judged.where("suspect").select("key").distinct()
     texts = rows.join(suspects, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = tables.keep(texts.select("key", bench_words(F.col("text")).alias("words")), "suspects")
 

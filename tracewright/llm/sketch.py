@@ -16,7 +16,6 @@ from tracewright.llm.common import shuffle_parts
 SHINGLE = 5
 SCALE = 8
 _LOW = -(1 << 63)
-_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def _bound(value: Column, f) -> Column:  # noqa: ANN001
@@ -26,7 +25,7 @@ def _bound(value: Column, f) -> Column:  # noqa: ANN001
 def sketch(text: Column, scale: int = SCALE) -> Column:
     """Sorted distinct retained hashes: array<bigint>. A text without words has the hash of the empty string."""
     limit = F.lit(-(1 << 63) + (1 << 64) // scale)
-    words = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r")), _SPACE)
+    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", " " * 5), " "), lambda w: w != "")
 
     def hashes(w: Column) -> Column:
         many = F.transform(
