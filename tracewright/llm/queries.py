@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, packing, simhash, sketch, substring, urlfilter, warc
+from tracewright.llm import decontaminate, langid, packing, quality, simhash, sketch, substring, toxicity, urlfilter, warc
 
 URL_RULES = [  # fixed values: host, path, verdict
     ("com", "/", "allow"),
@@ -28,6 +28,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sketch.edited_fingerprints(_read(spark, sf_dir, "documents"))
     return rows.select(
@@ -41,6 +45,14 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_read(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -68,7 +80,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_url_filters": op8_url_filters,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
