@@ -18,9 +18,11 @@ LEAST_LANGUAGE = 0.3
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among verdicts' (null matches null)."""
-    ids = verdicts.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One row of docs for each doc_id of verdicts; rows without an id all stay if verdicts has a null one."""
+    ids = verdicts.select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null").join(ids.where("doc_id is null").select(F.lit(1).alias("one")), F.lit(True), "left_semi")
+    return named.select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that occur earlier; documents that lose nothing keep their text as it is, emptied ones go."""
+    """Cuts passages that occur earlier; documents that lose nothing keep their text as it is, emptied ones go.
+
+    Of rows that share a doc_id all get the least cut version's text.
+    """
     found = substring.remove_repeats(docs, with_text=True)
     found = found.where("n_removed > 0").select(
         F.col("doc_id").alias("cut_id"), F.col("kept_text"), F.col("n_words"), F.col("n_removed")
