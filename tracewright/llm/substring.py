@@ -278,9 +278,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     parts = shuffle_parts(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = base.select(F.coalesce("doc_id", F.lit(_LOW)).alias("key_id"), "doc_id", "text")
-    anchors = base.mapInArrow(_anchors, _FIELDS)
+    anchors = tables.keep(base.mapInArrow(_anchors, _FIELDS), "anchors")
     twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = tables.keep(anchors.join(twice, "h"), "shared")
+    tables.drop(anchors)
     place = F.struct("doc_id", "start", "tag", "wins")
     firsts = shared.groupBy("h", "fh").agg(F.min(place).alias("p")).select("h", "fh", "p.*")
     firsts = tables.keep(firsts, "firsts")
