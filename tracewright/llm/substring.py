@@ -164,17 +164,19 @@ class WaveletMatrix:
             bits = (seq >> bit) & 1
             self.levels.append((bit, BitVector(bits.astype(np.uint8)), int(len(bits) - bits.sum())))
             seq = np.concatenate([seq[bits == 0], seq[bits == 1]])
+        every = np.arange(sigma, dtype=np.int64)
+        self.base = self._down(every, np.zeros(sigma, np.int64))
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of symbol before lo and before hi."""
-        base = np.zeros(len(lo), np.int64)
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for bit, vec, zeros in self.levels:
-            one = ((symbol >> bit) & 1).astype(bool)
-            b1, l1, h1 = vec.rank1(base), vec.rank1(lo), vec.rank1(hi)
-            base = np.where(one, zeros + b1, base - b1)
-            lo = np.where(one, zeros + l1, lo - l1)
-            hi = np.where(one, zeros + h1, hi - h1)
-        return lo - base, hi - base
+            ones = vec.rank1(at)
+            at = np.where((symbol >> bit) & 1 == 1, zeros + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of symbol before lo and before hi; where a symbol starts on the last level is known beforehand."""
+        base = self.base[symbol]
+        return self._down(symbol, lo) - base, self._down(symbol, hi) - base
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
