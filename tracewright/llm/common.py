@@ -74,6 +74,17 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hashed_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most `most` rows of df, those of least hash of the keys (ties by the keys).
+
+    A threshold from the row count lets about twice as many rows through first, so no task sends more than its share.
+    """
+    total = df.count()
+    if total > 4 * most:
+        df = df.where(F.xxhash64(*keys) < F.lit(-(1 << 63) + (1 << 64) * 2 * most // total))
+    return df.orderBy(F.xxhash64(*keys), *keys).limit(most)
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(src long, dst long) -> (id, root): root is the smallest id of the component.
 

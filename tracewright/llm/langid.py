@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import hashed_sample
 from tracewright.llm.sampling import remainder
 
 STEPS = 64
@@ -159,7 +160,7 @@ def train(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS) -> Language
         .where(allowed)
         .where("lang is not null and length(text) > 0")
     )
-    ids = picked.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)
+    ids = hashed_sample(picked.select("doc_id", "lang"), rows, "doc_id", "lang")
     sample = sorted((r["lang"], r["text"]) for r in picked.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).collect())
     langs = sorted({lang for lang, _ in sample})
     model = LanguageModel(langs)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import hashed_sample
+
 
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text modulo modulus; null ids give null."""
@@ -17,7 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     The labelled ids are chosen first, so only the chosen texts move.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null").where(allowed)
-    picks = [known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for v in (0, 1)]
+    picks = [hashed_sample(known.where(F.col("y") == v), rows_per_class, "doc_id") for v in (0, 1)]
     chosen = picks[0].unionByName(picks[1]).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     return sorted({(r["text"] or "", r["y"]) for r in rows.select("text", "y").collect()})

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Tables, shuffle_parts
+from tracewright.llm.common import Tables, hashed_sample, shuffle_parts
 
 SAMPLE = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,7 +81,7 @@ def judge(urls: DataFrame, rules: DataFrame, parts: int | None = None) -> DataFr
     keys = sites.select(F.explode(F.array_distinct(F.transform(fronts, lambda p: _key(p, F.col("host"))))).alias("key")).distinct()
     keys = tables.keep(keys, "keys")
     both = keys.unionByName(known.select("key"))
-    sample = sorted(r[0] for r in both.orderBy(F.xxhash64("key")).limit(SAMPLE).collect())
+    sample = sorted(r[0] for r in hashed_sample(both, SAMPLE, "key").collect())
     n = min(len(sample), parts * 4)
     cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if n else []
     place = lambda c: _tree(c, cuts, 0, len(cuts))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Tables, scratch_path, shuffle_parts
+from tracewright.llm.common import Tables, hashed_sample, scratch_path, shuffle_parts
 
 REVISIT_BYTES = 100
 RECORDS_PER_FILE = 2048
@@ -179,7 +179,7 @@ def capture_history(spark: SparkSession, path: str) -> DataFrame:
     tables = Tables(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 0").select("path", "content")
     runs = tables.keep(files.mapInArrow(_runs, _ENTRY), "runs")
-    sample = sorted(r[0] for r in runs.select("key").orderBy(F.xxhash64("key")).limit(SAMPLE).collect())
+    sample = sorted(r[0] for r in hashed_sample(runs.select("key"), SAMPLE, "key").collect())
     n = min(len(sample), shuffle_parts(spark) * 2)
     cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if n else []
     placed = runs.withColumn("section", _tree(F.col("key"), cuts, 0, len(cuts)))
