@@ -12,7 +12,9 @@ from __future__ import annotations
 import functools
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,20 +75,20 @@ class WordTokenizer:
         if b"." not in known:
             self._whole([b".", b","])
         words = (text or "").encode("utf-8", "surrogatepass").split()
-        rest = []
-        for w in set(words):
-            if w not in known:
+        found = list(map(known.get, words))
+        if None in found:
+            rest = []
+            for w in {w for w, ids in zip(words, found) if ids is None}:
                 if w.isalpha() or (w[-1:] in b".," and w[:-1].isalpha()):
                     self._one(w)
                 else:
                     rest.append(w)
-        if rest:
-            self._whole(rest)
-        flat: list[int] = []
-        for w in words:
-            flat.extend(known[w])
+            if rest:
+                self._whole(rest)
+            found = [known[w] for w in words]
+        flat = array("I", chain.from_iterable(found))
         flat.append(END_ID)
-        return np.array(flat, "<u4")
+        return np.frombuffer(flat, "<u4")
 
 
 @functools.cache
