@@ -22,9 +22,15 @@ def _seq(block: Column, i: Column) -> Column:
     return F.shiftleft(block.cast("long"), _SEQ_BITS) + i
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deals rows anew where the files alone would not occupy all cores (few small files)."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n, key) if rows.rdd.getNumPartitions() < n else rows
+
+
 def doc_trace(spark: SparkSession, sf_dir: str, chunk_chars: int = CHUNK_CHARS, stream: str = "source") -> DataFrame:
     """Fixed-size character chunks of each document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 0")
+    docs = _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *([stream] if stream else [])).where("length(text) > 0"), "doc_id")
     n = F.floor((F.char_length("text") - 1) / chunk_chars).cast("int")
     key = F.col(stream) if stream else F.lit("all")
     return docs.select(key.alias("stream"), "doc_id", "text", F.explode(F.sequence(F.lit(0), n)).alias("i")).select(
