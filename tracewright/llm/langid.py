@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracewright.llm.common import hashed_sample
 from tracewright.llm.sampling import remainder
@@ -22,6 +23,7 @@ HIDDEN = 12
 SAMPLE_ROWS = 2000
 STRETCHES_PER_ROW = 8
 UNKNOWN = "und"
+SLICE_ROWS = 512
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -171,34 +173,43 @@ def train(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS) -> Language
     return model
 
 
-def _predict(model: LanguageModel):  # noqa: ANN202
+def _predict(model: LanguageModel, with_text: bool):  # noqa: ANN202
+    """Text is the last column; it comes back where with_text is set. A few rows at a time bound the working memory."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(a, SLICE_ROWS) for whole in batches for a in range(0, whole.num_rows, SLICE_ROWS)):
             texts = b.column(b.num_columns - 1).to_pylist()
             known = [bool(t) and any(map(str.isalpha, t)) and bool(model.langs) for t in texts]
             prob = model.score([t.encode("utf-8", "surrogatepass") if k else b"" for t, k in zip(texts, known)])
             best = prob.argmax(1) if len(model.langs) else np.zeros(len(texts), int)
             pred = [model.langs[i] if k else UNKNOWN for i, k in zip(best, known)]
             score = [float(min(1.0, p[i])) if k else 0.0 for p, i, k in zip(prob, best, known)]
-            cols = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            n = b.num_columns - (not with_text)
+            cols = [b.column(i) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:n], "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, modulus: int = 5, held: int = 0, rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify(docs: DataFrame, modulus: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs, read over its whole text.
 
+    * keep: columns of docs that are handed through unchanged, so that no join has to bring them back. The result's own
+      names cannot be among them.
     * Learned from at most `rows` rows whose crc32(doc_id) mod modulus is not held and whose lang is not null.
     * A null or empty text, or one without any letter, is "und" with score 0; so is every text where no language could be
       learned. With a single learned language each text with a letter has it, with score 1.
     * A null doc_id is predicted, never learned from and never held out. Repeated rows stay repeated; other columns are
       ignored. No rows give no rows.
     """
+    if {"doc_id", "held_out", "lang_pred", "score"} & set(keep):
+        raise ValueError("keep names a column of the result")
     model = train(docs, remainder(F.col("doc_id"), modulus) != held, rows)
     table = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out"),
+        *(F.col(c) for c in keep if c != "text"),
         F.col("text").cast("string").alias("text"),
     )
-    return table.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    fields = StructType(table.schema.fields[: None if "text" in keep else -1])
+    return table.mapInArrow(_predict(model, "text" in keep), fields.add("lang_pred", "string").add("score", "double"))
