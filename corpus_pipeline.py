@@ -15,28 +15,33 @@ from tracewright.llm.common import Tables
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose best language has less than this share of the positions are rejected, as are those without a letter.
 LEAST_LANGUAGE = 0.3
-
-
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One row of docs for each doc_id of verdicts; rows without an id all stay if verdicts has a null one."""
-    ids = verdicts.select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").join(ids.where("doc_id is null").select(F.lit(1).alias("one")), F.lit(True), "left_semi")
-    return named.select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
+#: Ids to drop are broadcast up to this count; beyond it texts are dealt by id instead.
+MOST_BROADCAST_IDS = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language stays unclear."""
-    found = Tables(spark).keep(langid.identify(docs), "languages")
-    rejected = found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE))
-    ids = rejected.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*COLUMNS)
+    """Drops rows without a letter and those whose language stays unclear."""
+    found = langid.identify(docs, keep=("text", "lang", "source", "n_chars"))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each near-duplicate group; rows without an id stay where their group has none."""
-    groups = simhash.near_duplicates(docs)
-    return _keep(docs, groups.where("component_id is null or doc_id = component_id"))
+    """Keeps the document of least id of each near-duplicate group, one row of it; rows without an id stay where their
+    group has none.
+
+    Texts are dealt by id and streamed past the ids that stay; only those of ids with several rows are sorted.
+    """
+    tables = Tables(spark)
+    stays = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    ids = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(stays).alias("stays"))
+    ids = tables.keep(ids.where("stays").drop("stays"), "kept-ids")
+    held = docs.select(*COLUMNS).join(ids.hint("shuffle_hash"), "doc_id")
+    out = held.where("n_rows = 1").select(*COLUMNS)
+    if not ids.where("doc_id is not null and n_rows > 1").isEmpty():
+        out = out.unionByName(held.where("n_rows > 1").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    if not ids.where("doc_id is null").isEmpty():
+        out = out.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    return out
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +67,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more of the words are benchmark passages."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark).where("contaminated")
-    ids = found.select(F.col("doc_id").alias("gone_id")).distinct()
+    found = decontaminate.contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
+    ids = Tables(spark).keep(found, "contaminated-ids")
+    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids.hint("shuffle_hash")
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*COLUMNS)
 
 
