@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracewright.llm.common import hashed_sample
+from tracewright.llm.common import bound_batches, hashed_sample
 from tracewright.llm.sampling import remainder
 
 STEPS = 64
@@ -204,6 +204,7 @@ def identify(docs: DataFrame, modulus: int = 5, held: int = 0, rows: int = SAMPL
     """
     if {"doc_id", "held_out", "lang_pred", "score"} & set(keep):
         raise ValueError("keep names a column of the result")
+    bound_batches(docs.sparkSession)
     model = train(docs, remainder(F.col("doc_id"), modulus) != held, rows)
     table = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Tables
+from tracewright.llm.common import Tables, bound_batches
 
 CAPACITY = 4096
 END_ID = 2
@@ -203,6 +203,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
     * A null doc_id is kept; repeated rows are documents of their own. Other columns are ignored. No rows give no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     tables = Tables(spark)
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Tables, connected_components, shuffle_parts
+from tracewright.llm.common import Tables, bound_batches, connected_components, shuffle_parts
 
 SEED = 42
 DISTANCE = 3
@@ -60,6 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long): one row per row of docs, whole texts, one pass, no shuffle."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _fingerprints, "doc_id long, fp long"
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Tables, shuffle_parts
+from tracewright.llm.common import Tables, bound_batches, shuffle_parts
 
 SPAN = 20
 GRAM = 6
@@ -276,6 +276,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     * Other columns of docs are ignored. No rows give no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     tables = Tables(spark)
     parts = shuffle_parts(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
