@@ -15,8 +15,8 @@ from tracewright.llm.common import Tables
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose best language has less than this share of the positions are rejected, as are those without a letter.
 LEAST_LANGUAGE = 0.3
-#: Ids to drop are broadcast up to this count; beyond it texts are dealt by id instead.
-MOST_BROADCAST_IDS = 100_000
+#: Keys of texts to drop are broadcast up to this count; beyond it texts are dealt by key instead.
+MOST_BROADCAST_KEYS = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,32 +45,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that occur earlier; documents that lose nothing keep their text as it is, emptied ones go.
+    """Cuts passages that occur earlier; rows that lose nothing keep their text as it is, emptied ones go.
 
-    Of rows that share a doc_id all get the least cut version's text.
+    Every row has its own verdict, by its own text, whatever other rows share its doc_id.
     """
-    found = substring.remove_repeats(docs, with_text=True)
-    found = found.where("n_removed > 0").select(
-        F.col("doc_id").alias("cut_id"), F.col("kept_text"), F.col("n_words"), F.col("n_removed")
-    )
-    cut = Tables(spark).keep(found.groupBy("cut_id").agg(F.min(F.struct("n_removed", "n_words", "kept_text")).alias("r")), "cut")
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
-    return joined.where("r is null or r.n_removed < r.n_words").select(
+    found = substring.remove_repeats(docs, with_text=True, keep=("text", "lang", "source", "n_chars"))
+    cut = F.col("n_removed") > 0
+    return found.where("n_removed = 0 or n_removed < n_words").select(
         "doc_id",
-        F.coalesce("r.kept_text", "text").alias("text"),
+        F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"),
         "lang",
         "source",
-        F.when(F.col("r").isNotNull(), F.char_length("r.kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
+        F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
     )
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more of the words are benchmark passages."""
+    """Drops rows of which a twentieth or more of the words are benchmark passages.
+
+    Rows go by their text, which alone decides; a contaminated text takes no other text of its doc_id with it.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
-    ids = Tables(spark).keep(found, "contaminated-ids")
-    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids.hint("shuffle_hash")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*COLUMNS)
+    found = decontaminate.contamination(docs, benchmark).where("contaminated").select(F.col("key").alias("gone_key")).distinct()
+    keys = Tables(spark).keep(found, "contaminated-texts")
+    keys = F.broadcast(keys) if keys.count() <= MOST_BROADCAST_KEYS else keys.hint("shuffle_hash")
+    return docs.join(keys, decontaminate.text_key(F.col("text")) == F.col("gone_key"), "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force over what each of them gets."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -46,3 +47,24 @@ def test_run_equals_stages(spark, tmp_path):
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = P.run(spark, str(tmp_path))
     assert got.count() > 5 and got.select(F.max("offset")).first()[0] < 4096
+
+
+def unlike(seed, n=40):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
+def test_rows_that_share_an_id_have_verdicts_of_their_own(spark, tmp_path):
+    passage = unlike(1)
+    cut = unlike(2) + " " + passage
+    rows = [(-5, passage)] + [(i, t) for i in (None, 7) for t in (cut + f" {i}", unlike(3 if i else 4), unlike(5 if i else 6))]
+    docs = table(spark, [(i, t, "en") for i, t in rows])
+    got = P.repeated_passages(spark, docs, str(tmp_path)).collect()
+    # a null id counts as the least: its passages stay, and those of the ids -5 (all of it) and 7 go
+    want = [*rows[1:4], (7, "7"), *rows[5:]]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
+    assert all(r.n_chars == (None if (r.doc_id, r.text) in rows else 1) for r in got)
+
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = P.contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(str(x) for x in rows if passage not in x[1])

@@ -58,12 +58,17 @@ def winnow(words: Column) -> Column:
     return _bound(words, lambda w: _bound(gram_hashes(w, GRAM), least))
 
 
+def text_key(text: Column) -> Column:
+    """What texts are judged by: rows of one key have one verdict."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", bench_words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated) for every row of docs.
+    """(doc_id, key, n_words, n_hit, n_items, items, contaminated) for every row of docs; key is text_key of its text.
 
     n_hit counts the words inside any occurrence of a window, items are the ids (strings, sorted) of the items with
     occurring windows, contaminated means n_hit > 0 and 20 * n_hit >= n_words.
@@ -79,7 +84,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("key", F.sha2("text", 256))
+    ).withColumn("key", text_key(F.col("text")))
     items = tables.keep(_items(benchmark), "items")
     short_sizes = [r[0] for r in items.where(F.size("item_words") < WINDOW).select(F.size("item_words")).distinct().collect()]  # at most 12
     marks = items.where(F.size("item_words") >= WINDOW).select(F.explode(winnow(F.col("item_words"))).alias("fp"))

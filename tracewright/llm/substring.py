@@ -264,8 +264,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, spans[, kept_text]) for every row of docs.
+def remove_repeats(docs: DataFrame, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, spans[, kept_text], *keep) for every row of docs.
 
     A word goes if a window of 20 words of its document covers it whose words also start earlier (smaller doc_id, or the
     same document and an earlier word). spans lists the removed word ranges as start, end, start, end ...
@@ -273,14 +273,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     * A null text has no words. Documents of under 20 words lose nothing.
     * A null doc_id counts as smaller than any other. Rows that share a doc_id are versions of one document: between
       them only an earlier start counts, so of exactly repeated rows none removes the other.
-    * Other columns of docs are ignored. No rows give no rows.
+    * Columns named in keep are handed through, row by row; others are ignored. No rows give no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     tables = Tables(spark)
     parts = shuffle_parts(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = base.select(F.coalesce("doc_id", F.lit(_LOW)).alias("key_id"), "doc_id", "text")
+    keyed = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("key_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        *(F.col(c).alias(f"keep_{c}") for c in keep),
+    )
     anchors = tables.keep(base.mapInArrow(_anchors, _FIELDS), "anchors")
     twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = tables.keep(anchors.join(twice, "h"), "shared")
@@ -326,8 +331,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
         .agg(F.flatten(F.collect_list("runs")).alias("runs"))
     )
     spans = tables.keep(spans.groupBy("key_id").agg(F.collect_list(F.struct("tag", "runs")).alias("versions")), "spans")
-    joined = keyed.join(spans, "key_id", "left").select("doc_id", "text", "versions")
-    return joined.mapInArrow(_apply if with_text else _apply_plain, _OUT if with_text else _OUT_PLAIN)
+    joined = keyed.join(spans, "key_id", "left").select("doc_id", "text", "versions", *(f"keep_{c}" for c in keep))
+    kinds = "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    out = joined.mapInArrow(_apply if with_text else _apply_plain, (_OUT if with_text else _OUT_PLAIN) + kinds)
+    return out.withColumnsRenamed({f"keep_{c}": c for c in keep})
 
 
 _OUT_PLAIN = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>"
@@ -360,7 +367,7 @@ def _apply(batches: Iterator[pa.RecordBatch], with_text: bool = True) -> Iterato
         if with_text:
             arrays.append(pa.array(cols[4], pa.binary()).cast(pa.string()))
             names.append("kept_text")
-        yield pa.RecordBatch.from_arrays(arrays, names)
+        yield pa.RecordBatch.from_arrays(arrays + b.columns[3:], names + b.schema.names[3:])
 
 
 def _apply_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
