@@ -26,21 +26,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each near-duplicate group, one row of it; rows without an id stay where their
-    group has none.
+    """Keeps exactly one row of each near-duplicate group, that of least id; a row without an id only where none has one.
 
-    Texts are dealt by id and streamed past the ids that stay; only those of ids with several rows are sorted.
+    Of a group's rows of the least id (or without any) the one of least row hash stays. Texts are dealt by id and row hash
+    and streamed past the rows that stay; only those of wholly equal rows are sorted.
     """
-    tables = Tables(spark)
-    stays = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    ids = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(stays).alias("stays"))
-    ids = tables.keep(ids.where("stays").drop("stays"), "kept-ids")
-    held = docs.select(*COLUMNS).join(ids.hint("shuffle_hash"), "doc_id")
+    # nulls leave no trace in a hash, so where they are is hashed too
+    row = F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
+    alike = simhash.near_duplicates(docs, row).groupBy("group_id", "doc_id", "row").agg(F.count("*").alias("n_rows"))
+    least = alike.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "n_rows")).alias("r"))
+    stays = least.select(F.col("r.doc_id").alias("kept_id"), F.col("r.row").alias("kept_row"), "r.n_rows")
+    stays = Tables(spark).keep(stays, "kept-rows")
+    held = docs.select(*COLUMNS, row.alias("row"))
+    held = held.join(stays.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")))
     out = held.where("n_rows = 1").select(*COLUMNS)
-    if not ids.where("doc_id is not null and n_rows > 1").isEmpty():
-        out = out.unionByName(held.where("n_rows > 1").select(*COLUMNS).dropDuplicates(["doc_id"]))
-    if not ids.where("doc_id is null").isEmpty():
-        out = out.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    if not stays.where("n_rows > 1").isEmpty():
+        out = out.unionByName(held.where("n_rows > 1").dropDuplicates(["doc_id", "row"]).select(*COLUMNS))
     return out
 
 

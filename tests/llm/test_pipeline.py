@@ -68,3 +68,11 @@ def test_rows_that_share_an_id_have_verdicts_of_their_own(spark, tmp_path):
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = P.contaminated(spark, docs, str(tmp_path)).collect()
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(str(x) for x in rows if passage not in x[1])
+
+
+def test_one_row_of_each_near_duplicate_group_stays(spark, tmp_path):
+    a, b, c, d, e = (unlike(k) for k in range(11, 16))
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, a), (None, c), (None, c), (None, c.upper()), (None, d), (9, d), (None, e), (3, e), (3, e.upper())]
+    got = P.near_duplicates(spark, table(spark, [(i, t, "en") for i, t in rows]), str(tmp_path)).collect()
+    kept = [(r.doc_id, r.text.lower()) for r in got]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, a), (2, b), (None, c), (9, d), (3, e)]))

@@ -55,14 +55,15 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): one row per row of docs, whole texts, one pass, no shuffle."""
+def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc_id, fp long[, row long]): one row per row of docs, whole texts, one pass, no shuffle; row is handed through."""
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprints, "doc_id long, fp long"
+    more = [] if row is None else [row.cast("long").alias("row")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(
+        _fingerprints, "doc_id long, fp long" + ", row long" * len(more)
     )
 
 
@@ -191,25 +192,27 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs.
+def near_duplicates(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id[, group_id, row]) for every row of docs.
 
     * A null text has no words; no words give fingerprint zero, linked like any other.
     * component_id is the smallest non-null doc_id of the rows reachable over links of at most 3 differing bits; it is
       null only where every such row has a null doc_id. Repeated rows stay repeated.
     * Equal fingerprints (exact copies above all) are one node, so a group of copies costs one row in every join.
+    * With row, a long made from docs, it is handed through, and group_id tells components apart, those without an id too.
     * Other columns of docs are ignored. No rows give no rows.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
-    rows = tables.keep(fingerprints(docs), "fingerprints")
+    rows = tables.keep(fingerprints(docs, row), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     nodes = tables.keep(nodes, "nodes")
     links = tables.keep(link_fingerprints(nodes.select("fp")), "links")
     comp = connected_components(spark, links).withColumnRenamed("id", "fp")
     rooted = nodes.join(comp, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = tables.keep(rooted.join(lows, "root").select("fp", "component_id"), "components")
+    more = [] if row is None else ["group_id", "row"]
+    named = tables.keep(rooted.join(lows, "root").select("fp", "component_id", *([F.col("root").alias("group_id")] if more else [])), "components")
     return rows.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *more
     )
