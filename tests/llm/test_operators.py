@@ -182,6 +182,18 @@ def test_sketch(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def test_short_texts_keep_their_likeness(spark):
+    r = random.Random(9)
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(n)) for n in (6, 9, 12, 20, 29, 40, 53) * 3]
+    pairs = [(t, " ".join(t.split()[: len(t.split()) * 3 // 4 + 2] + ["a", "b"])) for t in texts]
+    pairs += [(t, t + " " + " ".join(f"{k} more" for k in range(n))) for t in texts[3:7] for n in (5, 30, 400)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", sketch.likeness(sketch.sketch(F.col("a"), 2), sketch.sketch(F.col("b"), 2), 2).alias("l")).collect()
+    for x in rows:
+        a, b = grams(x.a), grams(x.b)
+        assert x.l == pytest.approx(len(a & b) / min(len(a), len(b)))
+
+
 def test_sketches_merge(spark):
     d = spark.createDataFrame([(" ".join(f"w{i}" for i in range(400)), " ".join(f"v{i}" for i in range(30)))], "a string, b string")
     row = d.select(sketch.sketch(F.col("a")).alias("a"), sketch.sketch(F.col("b")).alias("b")).select("a", "b", sketch.merge(F.col("a"), F.col("b")).alias("m")).select("*", sketch.containment(F.col("a"), F.col("m")).alias("c")).first()

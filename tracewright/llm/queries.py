@@ -40,8 +40,8 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_sha256",
         sketch.encode(F.col("s")).alias("fingerprint"),
         sketch.encode(F.col("e")).alias("edited_fingerprint"),
-        sketch.likeness(F.col("s"), F.col("e")).alias("near_edited"),
-        sketch.likeness(F.col("s"), F.col("next_s")).alias("near_next"),
+        sketch.likeness(F.col("s"), F.col("e"), sketch.FINE).alias("near_edited"),
+        sketch.likeness(F.col("s"), F.col("next_s"), sketch.FINE).alias("near_next"),
     )
 
 

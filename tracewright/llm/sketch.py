@@ -1,9 +1,11 @@
 """Threshold-scaled document sketches with built-in functions only.
 
 The sketch of a text holds the hash of every shingle of 5 consecutive words (the whole text if it has fewer) that lies
-in the lowest 1/``SCALE`` of the hash range, and, if there is none, the single lowest hash. Retaining depends on the hash
-alone, so sketches of parts merge by set union (empties fall back to the lowest of the lowests), and the share of a
-sketch found in another estimates containment however unequal the texts are.
+in the lowest 1/``SCALE`` of the hash range, and at least its ``LEAST`` lowest ones (all where it has fewer). Retaining
+depends on the hashes alone, so sketches of parts merge by set union, cut by the same rule. Two sketches are compared up to
+the hash to which both are complete, so the share of a sketch found in another estimates containment however unequal the
+texts are; it is exact where both texts have fewer than ``LEAST`` shingles. A text of n < ``LEAST`` shingles has no hash in reach of a
+much longer one's sketch, and so likeness 0, with chance (1 - 1/``SCALE``) ** n.
 """
 
 from __future__ import annotations
@@ -15,16 +17,32 @@ from tracewright.llm.common import shuffle_parts
 
 SHINGLE = 5
 SCALE = 8
+#: Scale of the sketches of edited_fingerprints.
+FINE = 2
+LEAST = 64
 _LOW = -(1 << 63)
+_HIGH = (1 << 63) - 1
 
 
 def _bound(value: Column, f) -> Column:  # noqa: ANN001
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _limit(scale: int) -> Column:
+    return F.lit(-(1 << 63) + (1 << 64) // scale)
+
+
+def _lowest(h: Column, scale: int) -> Column:
+    """The distinct hashes below the limit, but at least the LEAST lowest ones, sorted."""
+    limit = _limit(scale)
+    return _bound(
+        F.sort_array(F.array_distinct(h)),
+        lambda s: F.slice(s, F.lit(1), F.greatest(F.lit(LEAST), F.size(F.filter(s, lambda x: x < limit)))),
+    )
+
+
 def sketch(text: Column, scale: int = SCALE) -> Column:
     """Sorted distinct retained hashes: array<bigint>. A text without words has the hash of the empty string."""
-    limit = F.lit(-(1 << 63) + (1 << 64) // scale)
     words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", " " * 5), " "), lambda w: w != "")
 
     def hashes(w: Column) -> Column:
@@ -33,11 +51,7 @@ def sketch(text: Column, scale: int = SCALE) -> Column:
         )
         return F.when(F.size(w) >= SHINGLE, many).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
 
-    def keep(h: Column) -> Column:
-        low = F.filter(h, lambda x: x < limit)
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(h)))
-
-    return _bound(words, lambda w: _bound(hashes(w), keep))
+    return _bound(words, lambda w: _lowest(hashes(w), scale))
 
 
 def encode(s: Column) -> Column:
@@ -47,20 +61,32 @@ def encode(s: Column) -> Column:
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Sketch of the union of two shingle sets."""
-    limit = F.lit(-(1 << 63) + (1 << 64) // scale)
-    both = F.array_union(a, b)
-    low = F.filter(both, lambda x: x < limit)
-    return F.when(F.size(low) > 0, F.array_sort(low)).otherwise(F.array(F.array_min(both)))
+    return _lowest(F.concat(a, b), scale)
+
+
+def _shared(a: Column, b: Column, scale: int, share) -> Column:  # noqa: ANN001
+    """share(a, b) of both sketches up to the hash to which both are complete; 0 where either has nothing up to there."""
+    inside = _limit(scale) - 1
+
+    def complete(s: Column) -> Column:
+        return F.when(F.size(s) < LEAST, F.lit(_HIGH)).otherwise(F.greatest(F.element_at(s, -1), inside))
+
+    def upto(s: Column, end: Column) -> Column:
+        return F.when(F.element_at(s, -1) <= end, s).otherwise(F.filter(s, lambda x: x <= end))
+
+    pair = F.struct(a.alias("a"), b.alias("b"), F.least(complete(a), complete(b)).alias("end"))
+    both = _bound(pair, lambda p: F.struct(upto(p["a"], p["end"]).alias("a"), upto(p["b"], p["end"]).alias("b")))
+    return _bound(both, lambda p: F.when((F.size(p["a"]) > 0) & (F.size(p["b"]) > 0), share(p["a"], p["b"])).otherwise(F.lit(0.0)))
 
 
-def containment(a: Column, b: Column) -> Column:
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated share of a's shingles that b has too."""
-    return F.size(F.array_intersect(a, b)) / F.size(a)
+    return _shared(a, b, scale, lambda x, y: F.size(F.array_intersect(x, y)) / F.size(x))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The larger of both containments: near 1 where either text is mostly held by the other."""
-    return (F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).cast("double")
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The larger of both containments: near 1 where either text is mostly held by the other. Sketches may be finer than scale."""
+    return _shared(a, b, scale, lambda x, y: F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))).cast("double")
 
 
 def next_rows(docs: DataFrame, extra: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
@@ -101,7 +127,7 @@ def _tree(key: Column, cuts: list, lo: int, hi: int) -> Column:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, s, e, next_s): sketches of every text, of its edited text and of the next text.
+    """(doc_id, n_chars, edited_sha256, s, e, next_s): sketches (of scale FINE) of every text, of its edited text and of the next text.
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next row's.
     Null texts count as empty. A single row is its own next row. Repeated rows stay repeated, ordered by doc_id and
@@ -109,8 +135,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     n = F.char_length("text")
     part = F.floor(n / 4).cast("int")
-    rows = next_rows(docs, {"s": sketch(F.col("text"))})
+    rows = next_rows(docs)  # sketches are made where rows have been dealt: they would add to what is dealt
     edited = F.concat(F.substring("text", F.lit(1), n - part), F.substring("next_text", F.lit(1), part))
-    return rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "s", "next_s").select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "s", sketch(F.col("edited")).alias("e"), "next_s"
+    return rows.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketch(F.col("text"), FINE).alias("s"),
+        sketch(F.col("edited"), FINE).alias("e"),
+        sketch(F.col("next_text"), FINE).alias("next_s"),
     )
