@@ -99,6 +99,17 @@ def test_levels_equal_queue(spark, seed, v):
     assert one.select("c_fp").distinct().count() == one.count()
 
 
+@pytest.mark.parametrize(("w", "leakage"), [(4, 0.0), (12, 0.0), (12, 0.5)])
+def test_levels_keep_the_queue_limit(spark, w, leakage):
+    r = random.Random(w)
+    own = [(fp(r.randrange(60)), 1) for _ in range(300)]
+    aux, target = trace(spark, {"u": own[:250]}), trace(spark, {"u": own})
+    key = lambda d: [(x.level, x.m_fp, x.c_fp) for x in d.orderBy("pos").collect()]
+    run = lambda **more: key(I.locality_inference(aux, target, u=3, v=4, leakage=leakage, **more)[0])
+    one = run(w=w)
+    assert one == run(w=w, local_rows=0) and one != run(w=10**6)
+
+
 def test_bottom_alignment_and_queue_limit():
     aux = {(0, "m"): ["a1", "a2", "a3"]}
     target = {(0, "c"): ["b1", "b2"]}
