@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -242,6 +243,30 @@ def test_histogram_is_used_up(seed):
     assert packing.pack_histogram({}) == []
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_give_the_ids_of_whole_texts(name, monkeypatch):
+    """Words one by one against the whole tokenizer; a vocabulary with other rules is not cut into words."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    r = random.Random(6)
+    heads = ["Ünd", "naïve", "ПРИВЕТ", "Éclair", "ΣΑΣ", "word", "İx", "ﬁn", "e\u0301t", "日本", "a1b", "Don't", "'s", "\u00a0x", "", "<|endoftext|>", "ǅ", "ß"]
+    tails = ["", ".", ",###", "'", "'s", "!?", "…", "5", "<|", "--", "\u0301"]
+    texts = [" ".join(r.choice(heads) + r.choice(tails) for _ in range(r.randrange(30))) for _ in range(300)] + [None, "", " \t"]
+    tok = packing.WordTokenizer(packing.vocabulary_path(name))
+    assert tok.by_word == (name == "word_bpe_49k.json")
+    got = [x for k in range(0, len(texts), 7) for x in tok.ids(pa.array(texts[k : k + 7], pa.string()))]
+    for text, ids in zip(texts, got):
+        assert ids.tolist() == tok.tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
+    assert all(len(g) < 400 for g in tok.words)
+
+
+def test_patterns_do_not_grow_with_the_corpus():
+    r = random.Random(3)
+    counts = {n: r.randrange(1, 50) for n in range(1, packing.CAPACITY + 1)}
+    for times in (1, 100, 1_000_000):
+        patterns = packing.pack_histogram({n: c * times + r.randrange(times) for n, c in counts.items()})
+        assert len(patterns) <= 3 * packing.CAPACITY and sum(len(slots) for _, slots in patterns) <= 6 * packing.CAPACITY
+
+
 def test_warc(spark):
     r = random.Random(8)
     body = ["<p>" + "x" * n + "\r\n\r\nWARC/1.1é</p>" for n in (5, 99, 150, 151, 400)]

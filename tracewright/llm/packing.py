@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import functools
 import heapq
+import string
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,31 @@ from tracewright.llm.common import Tables, bound_batches
 
 CAPACITY = 4096
 END_ID = 2
-CACHE_WORDS = 600_000
+#: Words of the young generation of a worker's cache after which it becomes the old one.
+CACHE_WORDS = 300_000
+#: Stands for ids of what is not letters alone; no ids have one byte.
+_ODD = b"-"
+#: Below this character letters are the same in every Unicode version that the libraries here know.
+_STABLE = "\u0530"
+# fixed values: the rules of the public vocabulary under which words may be looked up one by one
+_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,14 +61,17 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """ids of a text, white-space token by white-space token, with a bounded cache.
+    """ids (little-endian uint32) of texts, white-space token by white-space token, with a cache of two generations.
 
-    The vocabulary drops white space and none of its rules reach across ASCII white space, so the ids of a text are those
-    of its tokens in turn. Plain ASCII letters (with one stop or comma after them) go straight to the vocabulary's model;
-    everything else goes through the whole tokenizer.
+    Where the file's rules are those of ``_RULES``, white space is dropped and no rule reaches across ASCII white space, so
+    the ids of a text are those of its tokens in turn. Letters with ASCII punctuation after them are two pre-tokens; their
+    letters go through the file's own normaliser to its model, the punctuation and everything else through the whole
+    tokenizer. Arrow splits a batch and finds its distinct words and bodies; Python sees each of these once a batch. A
+    vocabulary with other rules is given whole texts.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,44 +79,99 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def _whole(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        for w, e in zip(words, found):
-            self.known[w] = tuple(e.ids)
-
-    def _one(self, w: bytes) -> tuple[int, ...]:
-        """For a word of ASCII letters with at most one stop or comma after it."""
-        if w.isalpha():
-            out = tuple([t.id for t in self.model.tokenize(w.decode().lower())])
-        else:
-            body = self.known.get(w[:-1]) or self._one(w[:-1])
-            out = body + self.known[w[-1:]]
-        self.known[w] = out
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_word = all(rules[k] == v for k, v in _RULES.items()) and rules["model"]["type"] == "BPE"
+        # letters that the normaliser does not turn into letters alone
+        letters = [c for c in map(chr, range(0x80, ord(_STABLE))) if c.isalpha()]
+        normal = self.tokenizer.normalizer.normalize_str if self.by_word else str
+        self.odd = frozenset(c for c in letters if not normal(c).isalpha())
+        self.words: list[dict[str, bytes]] = [{}, {}]  # young and old
+        self.parts: list[dict[str, bytes]] = [{}, {}]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    @staticmethod
+    def _known(cache: list[dict], keys: list[str], resolve: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Values of keys; those of the old generation move to the young one, new ones are resolved together."""
+        young, old = cache
+        found = list(map(young.get, keys))
+        if None in found:
+            rest = [k for k, x in zip(keys, found) if x is None]
+            kept = list(map(old.get, rest))
+            new = [k for k, x in zip(rest, kept) if x is None]
+            if len(new) < len(rest):
+                young.update([(k, x) for k, x in zip(rest, kept) if x is not None])
+            young.update(zip(new, resolve(new) if new else ()))
+            found = list(map(young.__getitem__, keys))
+        return found
+
+    def _bodies(self, bodies: list[str]) -> list[bytes]:
+        """ids of lower-cased letters; _ODD for what is not letters alone."""
+        plain = [h.isalpha() and (h.isascii() or max(h) < _STABLE and self.odd.isdisjoint(h)) for h in bodies]
+        normal = iter(self.tokenizer.normalizer.normalize_str(" ".join(h for h, ok in zip(bodies, plain) if ok)).split(" "))
+        model, letters = self.model.tokenize, _byte_letters()
+        out = []
+        for ok in plain:
+            if ok:
+                n = next(normal)
+                found = model(n if n.isascii() else n.encode().decode("latin-1").translate(letters))
+                out.append(array("I", [t.id for t in found]).tobytes())
+            else:
+                out.append(_ODD)
         return out
 
-    def ids(self, text: str | None) -> np.ndarray:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        if b"." not in known:
-            self._whole([b".", b","])
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        found = list(map(known.get, words))
-        if None in found:
-            rest = []
-            for w in {w for w, ids in zip(words, found) if ids is None}:
-                if w.isalpha() or (w[-1:] in b".," and w[:-1].isalpha()):
-                    self._one(w)
-                else:
-                    rest.append(w)
-            if rest:
-                self._whole(rest)
-            found = [known[w] for w in words]
-        flat = array("I", chain.from_iterable(found))
-        flat.append(END_ID)
-        return np.frombuffer(flat, "<u4")
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """ids, packed, of distinct words without white space: of letters and of the punctuation after them, or of the whole."""
+        body = pc.ascii_lower(pc.ascii_rtrim(words, string.punctuation))
+        tail = pc.subtract(pc.binary_length(words), pc.binary_length(body)).to_numpy()
+        body = body.dictionary_encode()
+        codes = self._known(self.parts, _strings(body.dictionary), self._bodies)
+        head = body.indices.to_numpy().astype(np.int64)
+        odd = (np.fromiter(map(len, codes), np.int64, len(codes)) == len(_ODD))[head]
+        tailed = np.flatnonzero((tail > 0) & ~odd)
+        ends = [w[-n:] for w, n in zip(_strings(words.take(pa.array(tailed))), tail[tailed].tolist())]
+        places = {t: i for i, t in enumerate(dict.fromkeys(ends))}
+        whole = _strings(words.take(pa.array(np.flatnonzero(odd))))
+        units = [*codes, *self._known(self.words, whole, self._whole), *self._known(self.words, list(places), self._whole), b""]
+        head[odd] = len(codes) + np.arange(len(whole))
+        pairs = np.full((len(words), 2), len(units) - 1)
+        pairs[:, 0] = head
+        pairs[tailed, 1] = len(codes) + len(whole) + np.fromiter(map(places.__getitem__, ends), np.int64, len(ends))
+        both = pa.array(units, pa.large_binary()).take(pa.array(pairs.ravel()))
+        _, offsets, data = both.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: 2 * len(words) + 1 : 2].copy()
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), data])
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """ids of each text (null: none) and the end id."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return [np.append(np.frombuffer(x, "<u4"), np.uint32(END_ID)) for x in self._whole(texts.to_pylist())]
+        for cache in (self.words, self.parts):
+            if len(cache[0]) > CACHE_WORDS:
+                cache[:] = {}, cache[0]
+        # an empty word, as between leading white space and the text's start, has no ids
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        found = self._distinct(words.dictionary).take(words.indices)
+        _, offsets, data = found.buffers()
+        cuts = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy() - split.offsets[0].as_py()] // 4
+        flat = np.frombuffer(data or b"", "<u4", int(cuts[-1]))
+        return [np.append(flat[a:b], np.uint32(END_ID)) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
+@functools.cache
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 onwards in turn."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
 
 @functools.cache
@@ -103,14 +186,13 @@ def _pieces(path: str, capacity: int, with_ids: bool):  # noqa: ANN202
         ranks: dict[int, int] = {}
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = tok.ids(text.as_py())
+            for doc, ids in zip(b.column(0).to_pylist(), tok.ids(b.column(1))):
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     n = len(piece)
                     rank = ranks.get(n, 0)
                     ranks[n] = rank + 1
-                    rows.append((doc, start, n, zlib.crc32(piece.tobytes()), len(ids), part, rank, piece.tolist() if with_ids else None))
+                    rows.append((doc, start, n, zlib.crc32(piece), len(ids), part, rank, piece.tolist() if with_ids else None))
             for k in range(0, len(rows), 5000):
                 cols = list(zip(*rows[k : k + 5000]))
                 kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.list_(pa.int64())]
@@ -125,7 +207,10 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     """{length: count} -> patterns (count, [(length, times, offset)]). Every count is used up.
 
     Shortest pack first: the open pattern with most room takes the length; a pattern with more copies than there are
-    pieces left is split. One pattern takes a length several times at once where even that leaves it the roomiest.
+    pieces left is split. One pattern takes a length several times at once while it stays the roomiest.
+
+    A length adds at most three patterns (one split, one of new sequences and one for what is left of them), so there are
+    at most 3 * capacity of them, however many pieces there are: what is broadcast does not grow with the corpus.
     """
     heap: list[tuple[int, int, int, tuple]] = []  # (-room, tie, copies, slots)
     done: list[tuple[int, list]] = []
@@ -142,7 +227,8 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
                     heapq.heappush(heap, (-room, tie, copies - take, slots))
                 times = 1
                 if left >= 2 * copies:
-                    times = min(room // length, left // copies)
+                    next_room = -heap[0][0] if heap else 0
+                    times = min(room // length, left // copies, (room - next_room) // length + 1)
             else:
                 fit = max(1, capacity // length)
                 room, slots = capacity, ()
