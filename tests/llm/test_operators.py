@@ -298,11 +298,15 @@ def test_loser_tree(k):
     assert list(warc.LoserTree([iter(x) for x in runs])) == sorted(v for x in runs for v in x)
 
 
-def test_url_rules(spark):
-    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a.net", "/", "allow"), ("net", "/es/", "allow"), (None, "/", "block"), ("", "/", "block"), ("b.net", "/es", "allow")]
+def test_url_rules(spark, monkeypatch):
+    DataFrame = type(spark.range(0))
+    by_range = DataFrame.repartitionByRange
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a.net", "/", "allow"), ("net", "/es/", "allow"), (None, "/", "block"), ("", "/", "block"), ("b.net", "/es", "allow"), ("x,y.net", "/", "block"), ("q.org", "/a\0org.q", "block"), ("org", "/a", "block"), ("a..net", "/", "block"), ("z.a.net", "/\uffff", "block")]
     r = random.Random(3)
     urls = [f"{r.choice(['http', 'HTTPS'])}://{r.choice(['example.com', 'WWW.Example.com', 'x.www.example.com', 'notexample.com', 'a.net', 'c.a.net', 'b.net', 'net', 'com', 'org', '', 'ba.net'])}{r.choice(['', '/', '/en/', '/en', '/en/x?q=http://net/es/', '/es/#a', '?x=/en/', '/es/1'])}" for _ in range(200)]
     urls += [None, "", "no scheme/en/", "://", "http://", urls[0], "http://com/\nx://net/es/"]
+    urls += ["http://com,foo/x", "http://a.net,fr/fr/", "http://com,example/en/x", "http://x,y.net/", "http://p.x,y.net/es/", "http://net,x,y/es/", "http://org/a\0org.q.", "http://q.org/a\0org.q1"]
+    urls += ["http://org\0/a", "http://a..net/", "http://.a.net/", "http://a.net./es/", "http://z.a.net/\uffff1", "http://net:80/es/", "http://1:/net/es/", "http://\U0010ffff.net/es/"]
     pages = spark.createDataFrame([(i % 190, u, "k", "host") for i, u in enumerate(urls)] + [(None, urls[0], "k", "h")], "page_id long, url string, key string, host string")
 
     def brute(i, u):
@@ -316,7 +320,10 @@ def test_url_rules(spark):
         best = max(fits, default=None)
         return (i, host, path, best[1] if best else None, best[2] if best else "allow")
 
-    got = urlfilter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    for sections in (1, 40):  # more sections than rules: what is open goes from one to the next
+        monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, *c, n=sections: by_range(self, n, *c))
+        got = urlfilter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+        assert Counter(tuple(x) for x in got.collect()) == Counter(brute(x.page_id, x.url) for x in pages.collect())
     assert Counter(tuple(x) for x in got.collect()) == Counter(brute(x.page_id, x.url) for x in pages.collect())
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {x.verdict for x in urlfilter.judge(pages, none).collect()} == {"allow"}
