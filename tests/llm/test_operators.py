@@ -110,28 +110,35 @@ def brute_repeats(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [200, 0])
+@pytest.mark.parametrize("hot", [1000, 0, 3])
 def test_substring(spark, hot, monkeypatch):
     monkeypatch.setattr(substring, "HOT", hot)
     rows = odd_texts(2, 90)
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows += [(1000 + i, f"{r.random()} {r.random()} {passage} {r.random()}", "en") for i in range(12)]  # a common window amid changing words
+    rows += [(None, "n " * 30 + str(i % 4), "en") for i in range(8)] + [(7, f"v{i} " + passage, "en") for i in range(3)]  # null and shared ids
     got = substring.remove_repeats(table(spark, rows)).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows)
     assert all(r.kept_sha256 == hashlib.sha256(r.kept_text.encode()).hexdigest() for r in got)
+    assert all((r.matched >= 20) == (r.n_removed > 0) and r.matched <= 34 for r in got)
     assert substring.remove_repeats(table(spark, [])).count() == 0
 
 
-def test_fm_index():
-    r = np.random.default_rng(1)
-    seq = np.concatenate([[*r.integers(1, 4, 30), 0] for _ in range(20)]).astype(np.int64)
-    index = substring.FMIndex(seq, 4)
-    ends = np.array([k for k in range(6, len(seq)) if (seq[k - 6 : k] > 0).all()])
-    q, lo, hi = index.search(seq, ends, 6)
+@pytest.mark.parametrize("sigma", [4, 9])
+def test_fm_index(sigma):
+    """Matching statistics and intervals against counting."""
+    r = np.random.default_rng(sigma)
+    seq = np.concatenate([[*r.integers(1, sigma, 30), 0] for _ in range(20)]).astype(np.int64)
+    index = substring.FMIndex(seq.copy(), sigma, 12)
+    starts, stops = zip(*[(k, e) for k in range(0, len(seq), 31) for e in range(k + 4, k + 31)])
+    starts = np.maximum(starts, np.array(stops) - 12)
+    length, lo, hi = index.matching(starts, np.array(stops), 6)
     text = "".join(map(str, seq))
-    for k, a, b in zip(q, lo, hi):
-        w = text[ends[k] - 6 : ends[k]]
-        assert b - a == sum(text.startswith(w, i) for i in range(len(text)))
-    once = set(range(len(ends))) - set(q.tolist())
-    assert all(sum(text.startswith(text[ends[k] - 6 : ends[k]], i) for i in range(len(text))) == 1 for k in once)
+    count = lambda w: sum(text.startswith(w, i) for i in range(len(text)))
+    for a, e, n, x, y in zip(starts, stops, length, lo, hi):
+        best = max((m for m in range(index.width, e - a + 1) if count(text[e - m : e]) > 1), default=0)
+        assert n == best and y - x == (count(text[e - 6 : e]) if n >= 6 else 0)
 
 
 def test_decontamination(spark):
