@@ -93,6 +93,28 @@ def test_pigeonring_keys_and_hot_groups_lose_no_link(spark, monkeypatch):
         assert group(lambda x: root[x]) == group(lambda x: comp.get(sign(x), sign(x)))
 
 
+@pytest.mark.parametrize("hot", [64, 8])
+def test_hot_groups_are_cut_below_the_bound(spark, hot, monkeypatch):
+    """All 24 keys of a cloud that leaves the bits free which a key fixes least: no group to solve stays above HOT."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    r = random.Random(2)
+    for chain in (0, 6):
+        free = [8 * ((chain + j) % 8) + b for j in (4, 5, 6, 7) for b in range(8)]
+        fps = {sum(1 << b for b in r.sample(free, r.randrange(0, 7))) for _ in range(600)}
+        signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+        groups = simhash.candidate_groups(spark.createDataFrame(signed, "fp long")).groupBy("key").count()
+        assert groups.agg(F.max("count")).first()[0] <= hot
+
+
+def test_pigeonring_budgets():
+    """Every pair within 3 bits keeps the budgets of a chain, and nothing further apart keeps any."""
+    r = random.Random(5)
+    for _ in range(3000):
+        d = sum(1 << b for b in r.sample(range(64), r.randrange(0, 6)))
+        kept = [len(simhash._near(simhash._rotated(np.array([d], np.uint64), k))) for k in range(8)]
+        assert any(kept) == (d.bit_count() <= 3)
+
+
 def brute_repeats(rows):
     seen, out = {}, []
     docs = sorted(((-(1 << 63) if i is None else i), k, (t or "").encode().split()) for k, (i, t, _) in enumerate(rows))

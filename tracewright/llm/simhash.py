@@ -2,13 +2,15 @@
 
 Fingerprints of 64 bits are cut into ``SEGMENTS`` = 8 bytes laid on a ring. With at most 3 differing bits, the
 pigeonring principle says that from some byte on, every chain of l consecutive bytes differs in at most
-floor(3 * l / 8) bits: none in the first two bytes, at most one in the next three. So the two fingerprints agree in the
-first two bytes and in two of the next three of some chain: 8 * 3 keys of 32 exact bits, an equi-join. Inside a key the
-chain budgets are tested before the full Hamming distance.
+floor(3 * l / 8) bits: 0, 0, 1, 1, 1, 2, 2, 3 bits. So the two fingerprints agree in the first two bytes and in two of the
+next three of some chain: 8 * 3 keys of 32 exact bits, an equi-join. Inside a key, whatever its size, candidates must stay
+within the budgets of its chain, longer and longer, before the full Hamming check; a pair that leaves them is found under
+the chain that it keeps.
 
 Within a key no pairs are emitted: a task keeps the spanning forest of the links. Keys of over ``HOT`` distinct
-fingerprints are cut further by the bits outside the key (at most 3 of them differ, so one of four parts is equal),
-again and again until the groups are small or no bits are left to cut; that loses no link.
+fingerprints are cut further by bits that the key leaves free: at most 3 of those differ, so of any four parts one is equal
+and four narrower keys hold every link. Each cut fixes a quarter of the free bits (32, 24, 18, 14, 11 ...), and a key with w
+free bits holds at most 2**w fingerprints, so no group stays above ``HOT`` = 2**12.
 """
 
 from __future__ import annotations
@@ -19,15 +21,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Tables, bound_batches, connected_components, shuffle_parts
+from tracewright.llm.common import Tables, bound_batches, connected_components
 
 SEED = 42
 DISTANCE = 3
 SEGMENTS = 8
-CHAIN = 5
 HOT = 4096
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -82,17 +83,35 @@ def chain_keys(fp: Column) -> Column:
     return F.array(*out)
 
 
-def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (root, member) of the components of fps under DISTANCE, without listing pairs."""
+def _rotated(x: np.ndarray, chain: np.ndarray | int) -> np.ndarray:
+    """Byte `chain` first."""
+    by = np.uint64(8) * np.asarray(chain, np.uint64)
+    return (x >> by) | (x << ((np.uint64(64) - by) & np.uint64(63)))
+
+
+def _near(d: np.ndarray) -> np.ndarray:
+    """Places of the differences, rotated to their chain, that keep its budgets and DISTANCE."""
+    at = np.arange(len(d))
+    for n in range(1, SEGMENTS + 1):
+        budget = DISTANCE * n // SEGMENTS
+        if n < SEGMENTS and budget == DISTANCE * (n + 1) // SEGMENTS:
+            continue  # the longer chain has the same budget
+        kept = np.bitwise_count(d & np.uint64((1 << 8 * n) - 1)) <= budget
+        at, d = at[kept], d[kept]
+    return at
+
+
+def _forest(fps: np.ndarray, chain: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (root, member) of the components of fps under the chain's budgets, without listing pairs."""
     src, dst = [], []
     left = fps
     while len(left) > 1:
         root, front, left = left[0], [left[0]], left[1:]
         while front and len(left):
-            near = np.bitwise_count(left ^ front.pop()) <= DISTANCE
-            if near.any():
+            near = _near(_rotated(left ^ front.pop(), chain))
+            if len(near):
                 got = left[near]
-                left = left[~near]
+                left = np.delete(left, near)
                 front.extend(got)
                 src.append(np.full(len(got), root))
                 dst.append(got)
@@ -101,13 +120,10 @@ def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(src), np.concatenate(dst)
 
 
-def _pair(x: np.ndarray, y: np.ndarray, chains: np.ndarray) -> np.ndarray:
-    """For two-member keys: chain budgets (1 differing bit within bytes i..i+4), then the Hamming distance."""
-    d = x ^ y
-    part = np.zeros(len(d), np.uint8)
-    for j in range(CHAIN):
-        part += np.bitwise_count((d >> (8 * ((chains + np.uint64(j)) % np.uint64(8)))) & np.uint64(255))
-    return (part <= (DISTANCE * CHAIN) // SEGMENTS) & (np.bitwise_count(d) <= DISTANCE)
+def _chain_of(keys: np.ndarray) -> np.ndarray:
+    """First byte of a key's chain; refined keys are negative and end in it."""
+    u = keys.view(np.uint64)
+    return np.where(keys < 0, u & np.uint64(7), (u >> np.uint64(32)) // np.uint64(3)).astype(np.uint64)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,14 +135,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.r_[cut, len(keys)])
         two = cut[size == 2]
         u = fps.view(np.uint64)
-        chain = (keys[two].view(np.uint64) >> np.uint64(32)) // np.uint64(3)
-        ok = _pair(u[two], u[two + 1], chain)
-        # refined keys of hot groups have no chain number of their own: they are larger than the plain ones
-        plain = keys[two] >= 0
-        ok = np.where(plain, ok, np.bitwise_count(u[two] ^ u[two + 1]) <= DISTANCE)
+        ok = _near(_rotated(u[two] ^ u[two + 1], _chain_of(keys[two])))
         src, dst = [u[two][ok]], [u[two + 1][ok]]
         for a, n in zip(cut[size > 2], size[size > 2]):
-            s, d = _forest(np.unique(u[a : a + n]))
+            s, d = _forest(np.unique(u[a : a + n]), int(_chain_of(keys[a : a + 1])[0]))
             src.append(s)
             dst.append(d)
         return pa.RecordBatch.from_arrays(
@@ -146,50 +158,55 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held_k, held_f)
 
 
-def _refine(hot: DataFrame, tables: Tables) -> list[DataFrame]:
-    """Groups of over HOT fingerprints: four narrower keys each. Returns (key, fp) frames to solve.
+def _sized(keyed: DataFrame, tables: Tables) -> DataFrame:
+    """keyed with n, the rows of its key, where that is over 1. The sizes are written, so a hot key can be split in the join."""
+    sizes = tables.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    return tables.keep(keyed.join(sizes, "key"), "keyed")
 
-    Of four 16-bit quarters, or any four bytes, or any four half-bytes, at most three hold the differing bits, so one
-    is equal: each cut keeps every link. A group that is above HOT after all three cuts shares so many bits that
-    the forest search over it, which keeps no pairs, is the last step.
-    """
+
+def _refine(hot: DataFrame, tables: Tables) -> list[DataFrame]:
+    """Groups of over HOT fingerprints: four narrower keys each, again and again. Returns (key, fp) frames to solve."""
+    chain = F.expr("cast(shiftright(key, 32) as int)")
+    first, skip = F.floor(chain / 3).cast("int"), chain % 3
+    byte = lambda k: F.call_function("shiftrightunsigned", F.col("fp"), (k % SEGMENTS * 8).cast("int")).bitwiseAND(F.lit(255).cast("long"))
+    free = [byte(first + 2 + skip), *(byte(first + j) for j in (5, 6, 7))]  # the bytes that the key leaves free
+    rest = reduce(lambda a, c: F.shiftleft(a, 8).bitwiseOR(c), free)
+    hot = hot.select("key", "fp", first.cast("long").alias("chain"), rest.alias("rest"))
     done = []
-    for level, width in enumerate((16, 8, 4)):
-        parts = [
-            F.xxhash64(F.col("key"), F.lit(level), F.lit(k), F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-            .bitwiseOR(F.lit(-(1 << 63)))
-            for k in range(DISTANCE + 1 if width == 16 else 64 // width)
-        ]
-        if width != 16:  # of 64/width parts at most 3 differ: any 4 of them suffice; those with most variety come last
-            parts = parts[: DISTANCE + 1] if level == 1 else parts[-(DISTANCE + 1) :]
-        finer = hot.select(F.explode(F.array(*parts)).alias("key"), "fp")
-        sizes = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        kept = tables.keep(finer.join(sizes, "key"), "refined")
+    width = 8 * len(free)
+    while width > DISTANCE:
+        part = width // (DISTANCE + 1)
+        cuts = []
+        for k in range(DISTANCE + 1):
+            low = F.col("rest").bitwiseAND(F.lit((1 << part * k) - 1).cast("long"))
+            mine = F.shiftright("rest", part * k).bitwiseAND(F.lit((1 << part) - 1).cast("long"))
+            high = F.shiftleft(F.shiftright("rest", part * (k + 1)), part * k)
+            key = F.xxhash64("key", F.lit(width), F.lit(k), mine).bitwiseAND(F.lit(~7)).bitwiseOR(F.col("chain")).bitwiseOR(F.lit(-(1 << 63)))
+            cuts.append(F.struct(key.alias("key"), low.bitwiseOR(high).alias("rest")))
+        kept = _sized(hot.select(F.explode(F.array(*cuts)).alias("c"), "fp", "chain").select("c.key", "fp", "chain", "c.rest"), tables)
+        width -= part
         done.append(kept.where(F.col("n") <= HOT).select("key", "fp"))
-        hot = kept.where(F.col("n") > HOT).select("key", "fp")
+        hot = kept.where(F.col("n") > HOT).drop("n")
         if hot.isEmpty():
             return done
-    return [*done, hot]
+    return [*done, hot.select("key", "fp")]
 
 
-def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (src, dst) whose components are those of all pairs within 3 bits."""
-    spark = fps.sparkSession
-    tables = Tables(spark)
-    keyed = fps.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    many = tables.keep(keyed.join(sizes, "key"), "keyed")
+def candidate_groups(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) -> (key, fp): every pair within 3 bits shares a key of whose chain it keeps the budgets."""
+    tables = Tables(fps.sparkSession)
+    many = _sized(fps.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp"), tables)
     frames = [many.where(F.col("n") <= HOT).select("key", "fp")]
     hot = many.where(F.col("n") > HOT).select("key", "fp")
     if not hot.isEmpty():
         frames += _refine(hot, tables)
-    rows = reduce(DataFrame.unionByName, frames)
-    return (
-        rows.repartition(shuffle_parts(spark), "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_links, "src long, dst long")
-        .distinct()
-    )
+    return reduce(DataFrame.unionByName, frames)
+
+
+def link_fingerprints(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) -> links (src, dst) whose components are those of all pairs within 3 bits."""
+    rows = candidate_groups(fps).repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_links, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, row: Column | None = None) -> DataFrame:
