@@ -296,30 +296,51 @@ def test_patterns_do_not_grow_with_the_corpus():
         assert len(patterns) <= 3 * packing.CAPACITY and sum(len(slots) for _, slots in patterns) <= 6 * packing.CAPACITY
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_warc(spark, small, monkeypatch, tmp_path):
+    if small:  # many archives and sections
+        monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1500)
+        monkeypatch.setattr(warc, "SECTION_ENTRIES", 5)
     r = random.Random(8)
-    body = ["<p>" + "x" * n + "\r\n\r\nWARC/1.1é</p>" for n in (5, 99, 150, 151, 400)]
-    rows = [(i, r.choice(["http://A.example.com/x?y=1", "https://b.net/%0Aq\r\nX: y", None, "no scheme"]), r.choice([*body, None, ""])) for i in range(70)]
-    rows += [(3, rows[3][1], rows[3][2]), (None, "http://z.org/", body[4]), (None, "http://z.org/", "y" * 200)]
-    pages = spark.createDataFrame([(*x, "k", 5) for x in rows], "page_id long, url string, html string, key string, digest int")
-    got = warc.archive(pages).collect()
+    body = ["<p>" + "x" * n + "\r\n\r\nWARC/1.1é</p>" for n in (5, 99, 150, 151, 400, 900_000)]
+    times = ["2001-02-03T04:05:06Z", "1999-01-01T00:00:00Z", "2020-12-31T23:59:59Z", None]
+    rows = [(i, r.choice(["http://A.example.com/x?y=1", "https://b.net/%0Aq\r\nX: y", None, "no scheme"]), r.choice([*body[:5], None, ""]), r.choice(times)) for i in range(70)]
+    rows += [(3, *rows[3][1:]), (None, "http://z.org/", body[4], None), (None, "http://z.org/", "y" * 200, times[0]), (None, None, body[3] + "alone", None), (99, "http://z.org/", body[3] + "alone", times[1])]
+    rows += [(200 + i, "http://long.org/", body[5], times[i % 3]) for i in range(4)]
+    pages = spark.createDataFrame([(*x, "k", 5) for x in rows], "page_id long, url string, html string, when string, key string, digest int")
+    got = warc.archive(pages, f"file://{tmp_path}/warc", F.col("when")).collect()
     first = {}
-    for i, _, h in rows:
+    for i, _, h, _ in rows:
         if i is not None:
             first[h or ""] = min(first.get(h or "", 1 << 60), i)
 
-    def want(i, u, h):
+    def want(i, u, h, t):
         h = h or ""
         f = first.get(h)
         again = len(h.encode()) >= 100 and f is not None and f != i
-        return (i, u, len(h.encode()), hashlib.sha256(h.encode()).hexdigest(), "revisit" if again else "response", f if again else None)
+        return (i, u, t or warc.CAPTURED, len(h.encode()), hashlib.sha256(h.encode()).hexdigest(), "revisit" if again else "response", f if again else None)
 
-    assert Counter((x.page_id, x.url, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got) == Counter(want(*x) for x in rows)
-    order = [(warc.url_key(x.url), -1 if x.page_id is None else x.page_id) for x in sorted(got, key=lambda x: (x.section, x.position))]
+    assert Counter((x.page_id, x.url, x.captured, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got) == Counter(want(*x) for x in rows)
+    order = [(warc.url_key(x.url), x.captured, -1 if x.page_id is None else x.page_id) for x in sorted(got, key=lambda x: (x.section, x.position))]
     assert order == sorted(order)
+    if small:
+        assert len({x.run for x in got}) > 8 and len({x.section for x in got}) > 4
+    for x in got:  # run and place lead to the record
+        head, payload, at = next(warc.parse_archive((tmp_path / "warc" / x.run).read_bytes()[x.place :]))
+        assert head["WARC-Payload-Digest"] == f"sha256:{x.payload_digest}" and head["WARC-Date"] == x.captured
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_sections_merge_sorted_pieces(spark):
+    """Nothing is sorted where a section is merged: its pieces are what arrives in order."""
+    r = random.Random(1)
+    keys = [k for _ in range(9) for k in sorted(f"{r.randrange(300):03d}" for _ in range(r.randrange(1, 40)))]
+    fields = warc._ENTRY.split(", ")
+    rows = [tuple(k if f == "key string" else None for f in fields) for k in keys]
+    out = spark.createDataFrame(rows, warc._ENTRY).coalesce(1).mapInArrow(warc._merge, f"{warc._ENTRY}, section int, position long").collect()
+    assert [x.key for x in out] == sorted(keys) and [x.position for x in out] == list(range(len(keys)))
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
 def test_loser_tree(k):
     r = random.Random(k)

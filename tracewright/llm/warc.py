@@ -2,9 +2,13 @@
 
 * A record per page is a line of Spark's text writer whose line separator is the record end (CR LF CR LF), so archives go
   to any store that Spark writes. Equal payloads of at least ``REVISIT_BYTES`` are stored once; the others are revisits.
-* Reading parses each archive by content length into a run: index entries sorted by URL key, time and page.
-* The runs are cut at common quantiles; each range is merged by a loser tree over its runs, and the ranges in turn are the
-  global order. Cuts are over the whole sort key (page included), so a url with very many captures spreads out.
+  An archive is closed once it holds ``ARCHIVE_BYTES``.
+* Reading parses each archive by content length into a run: index entries sorted by URL key, time and page. Runs are
+  written.
+* The written runs are dealt by ranges of the whole sort key (page included, so a url with very many captures spreads out),
+  of about ``SECTION_ENTRIES`` each. What arrives of the runs is still sorted piece by piece; a section reads where one
+  piece ends and the next begins and merges the pieces by a loser tree, without sorting. The sections in turn are the
+  global order.
 """
 
 from __future__ import annotations
@@ -12,16 +16,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Tables, hashed_sample, scratch_path, shuffle_parts
+from tracewright.llm.common import Tables, bound_batches, scratch_path, shuffle_parts
 
 REVISIT_BYTES = 100
-RECORDS_PER_FILE = 2048
+ARCHIVE_BYTES = 32 << 20
+SECTION_ENTRIES = 50_000
 CAPTURED = "2000-01-01T00:00:00Z"
-SAMPLE = 20_000
 _END = "\r\n\r\n"
 _ENTRY = "key string, page_id long, url string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, place long"
 
@@ -31,17 +39,32 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-def write_archives(pages: DataFrame, path: str, captured: str = CAPTURED) -> None:
-    """pages (page_id, url, html) -> WARC files below path."""
+def _archive_number(most: int):  # noqa: ANN202
+    """Number of the archive of a task that a record goes to: the bytes of the task's records before it over `most`."""
+
+    @F.pandas_udf("int")
+    def number(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held = 0
+        for n in sizes:
+            ends = held + np.cumsum(n.to_numpy(np.int64))
+            yield pd.Series((ends - n.to_numpy(np.int64)) // most, dtype="int32")
+            held = int(ends[-1]) if len(ends) else held
+
+    return number
+
+
+def write_archives(pages: DataFrame, path: str, captured: str | Column = CAPTURED) -> None:
+    """pages (page_id, url, html) -> WARC files below path. captured: the time of all records, or a column of pages."""
     spark = pages.sparkSession
     tables = Tables(spark)
-    body = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    time = F.coalesce(F.regexp_replace(captured.cast("string"), "[\r\n]", " "), F.lit(CAPTURED)) if isinstance(captured, Column) else F.lit(captured)
+    body = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), time.alias("captured"))
     body = body.withColumn("digest", F.sha2("html", 256)).withColumn("n", F.octet_length("html").cast("long"))
-    sums = body.where((F.col("n") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    groups = sums.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    digests = tables.keep(body.where(F.col("n") >= REVISIT_BYTES).select("page_id", "digest"), "digests")
+    groups = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
+    groups = tables.keep(groups.drop("c"), "groups")  # written, so that a payload that very many pages share can be split in the join
     # revisits alone, without payloads
-    every = body.where(F.col("n") >= REVISIT_BYTES).select("page_id", "digest")
-    refs = every.join(groups, "digest").where("page_id is null or page_id <> first").select(
+    refs = digests.join(groups, "digest").where("page_id is null or page_id <> first").select(
         F.coalesce("page_id", F.lit(-(1 << 63))).alias("pid"), "digest", F.col("first").alias("refers_to")
     ).distinct()
     refs = tables.keep(refs, "revisits")
@@ -53,7 +76,7 @@ def write_archives(pages: DataFrame, path: str, captured: str = CAPTURED) -> Non
         F.lit("WARC/1.1\r\n"),
         _header("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         _header("WARC-Record-ID", urn(F.col("page_id"))),
-        _header("WARC-Date", F.lit(captured)),
+        _header("WARC-Date", F.col("captured")),
         _header("WARC-Target-URI", safe_url),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         _header("WARC-Refers-To", urn(F.col("refers_to"))),
@@ -63,9 +86,8 @@ def write_archives(pages: DataFrame, path: str, captured: str = CAPTURED) -> Non
         F.lit("\r\n"),
         F.when(revisit, F.lit("")).otherwise(F.col("html")),
     )
-    rows.select(record.alias("value")).write.mode("overwrite").option("lineSep", _END).option(
-        "maxRecordsPerFile", RECORDS_PER_FILE
-    ).text(path)
+    size = F.when(revisit, F.lit(0)).otherwise(F.col("n")) + F.coalesce(F.octet_length("url"), F.lit(0)) + 512
+    rows.select(record.alias("value"), _archive_number(ARCHIVE_BYTES)(size).alias("archive")).write.mode("overwrite").option("lineSep", _END).partitionBy("archive").text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -102,7 +124,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, data in zip(b.column(0), b.column(1)):
             rows = []
-            name = path.as_py().rsplit("/", 1)[-1]
+            name = "/".join(path.as_py().rsplit("/", 2)[-2:])
             for head, payload, place in parse_archive(data.as_py()):
                 page = _number(head.get("WARC-Record-ID"))
                 url = head.get("WARC-Target-URI")
@@ -155,38 +177,34 @@ class LoserTree:
             self._play(w)
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Entries of one range of keys: merges its runs and numbers them."""
-    runs: dict[str, list[tuple[str, int]]] = {}
-    for i, (run, key) in enumerate(zip(table.column("run").to_pylist(), table.column("key").to_pylist())):
-        runs.setdefault(run, []).append((key, i))
-    for r in runs.values():
-        r.sort()  # shuffled blocks of a run may come in any order
-    order = [i for _, i in LoserTree([iter(runs[r]) for r in sorted(runs)])]
-    out = table.take(pa.array(order, pa.int64()))
-    return out.append_column("position", pa.array(range(len(order)), pa.int64()))
-
-
-def _tree(key: Column, cuts: list, lo: int, hi: int) -> Column:
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < F.lit(cuts[mid]), _tree(key, cuts, lo, mid)).otherwise(_tree(key, cuts, mid + 1, hi))
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One section: finds the sorted pieces in what arrives, merges and numbers them."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    table = pa.Table.from_batches(got).combine_chunks()
+    keys = table.column("key")
+    cuts = np.flatnonzero(pc.less(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy()) + 1
+    keys = keys.to_pylist()
+    pieces = [zip(keys[a:b], range(a, b)) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)])]
+    order = np.fromiter((i for _, i in LoserTree(pieces)), np.int64, len(keys))
+    out = table.take(pa.array(order))
+    section = np.full(len(order), TaskContext.get().partitionId(), np.int32)
+    out = out.append_column("section", pa.array(section)).append_column("position", pa.array(np.arange(len(order))))
+    yield from out.to_batches(max_chunksize=10_000)
 
 
 def capture_history(spark: SparkSession, path: str) -> DataFrame:
     """Index of all archives below path in global order: by (section, position)."""
+    bound_batches(spark)
     tables = Tables(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 0").select("path", "content")
     runs = tables.keep(files.mapInArrow(_runs, _ENTRY), "runs")
-    sample = sorted(r[0] for r in hashed_sample(runs.select("key"), SAMPLE, "key").collect())
-    n = min(len(sample), shuffle_parts(spark) * 2)
-    cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if n else []
-    placed = runs.withColumn("section", _tree(F.col("key"), cuts, 0, len(cuts)))
-    return placed.groupBy("section").applyInArrow(_merge, f"{_ENTRY}, section int, position long")
+    sections = max(shuffle_parts(spark), -(-runs.count() // SECTION_ENTRIES))
+    return runs.repartitionByRange(sections, "key").mapInArrow(_merge, f"{_ENTRY}, section int, position long")
 
 
-def archive(pages: DataFrame, path: str | None = None, captured: str = CAPTURED) -> DataFrame:
+def archive(pages: DataFrame, path: str | None = None, captured: str | Column = CAPTURED) -> DataFrame:
     """Writes pages to archives, reads them back and returns their capture history, a row for each page.
 
     Columns: page_id, url, captured, payload_bytes, payload_digest, record_type, refers_to, run, place (archive and byte of
@@ -195,6 +213,7 @@ def archive(pages: DataFrame, path: str | None = None, captured: str = CAPTURED)
     * A null html is an empty payload; a null url or page_id stays null. Payloads of under 100 bytes are all responses.
     * Of equal longer payloads the least page_id is the response; null ids come after all others, and if all are null,
       all are responses. Repeated rows of that least id are responses all of them.
+    * captured is the time of all records, or a column of pages (null: the default).
     * Other columns are ignored. No pages give no rows.
     """
     spark = pages.sparkSession
