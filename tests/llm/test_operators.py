@@ -163,13 +163,17 @@ def test_fm_index(sigma):
         assert n == best and y - x == (count(text[e - 6 : e]) if n >= 6 else 0)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_decontamination(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
     r = random.Random(6)
     item = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(4)) for _ in range(n))
     items = [(1, item(30)), (2, item(13)), (3, "Solo Phrase"), (4, None), (5, "..."), (10, item(40)), (11, item(5)), (None, item(15)), (2, item(14))]
     full = [t for _, t in items if t]
     texts = [(k, f"{item(r.randrange(0, 20))} {' '.join(r.choice(full).upper().split()[r.randrange(3):][: r.randrange(1, 30)])}, {item(r.randrange(0, 300))}") for k in range(60)]
     texts += [(90, None), (91, ""), (92, "solo phrase"), (93, "solo. phrase!"), (94, full[0] + " " + full[0]), (1, texts[1][1]), (None, full[0]), (95, "solo phrase " * 3000)]
+    texts += [(100 + k, texts[5][1]) for k in range(20)] + [(None, texts[5][1]), (120, "same " * 60), (121, full[0].replace(" ", " x ", 14))]
+    items += [(20, "same " * 40)]
     docs = table(spark, [(i, t, None) for i, t in texts])
     bench = spark.createDataFrame([(i, t, "z", 3) for i, t in items], "item_id long, text string, key string, n_hit int")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

@@ -5,8 +5,9 @@ hash of every 7 consecutive ones: 7 + 7 - 1 = 13 words, so two texts that share
 kept hashes gives diagonals (document, item, shift); each is extended over the whole item, word by word, and every 13
 equal words in a row are a hit. Items of under 13 words are looked up by the hash of all their words.
 
-The fingerprints of the benchmark are broadcast only where their counted number is within ``BROADCAST_ROWS``; beyond that
-both sides are shuffled by hash, one row per hash on the benchmark's side.
+The fingerprints of the benchmark, and the keys of the texts that hold one, are broadcast only where their counted number is
+within ``BROADCAST_ROWS``; beyond that both sides are shuffled, one row per hash or key on the smaller side. Of equal texts
+only the rows of the least doc_id are read again, so copies are never dealt by their text.
 """
 
 from __future__ import annotations
@@ -101,18 +102,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # the one pass over all texts: a row with the word count (no hash), and one for each kept hash of the benchmark's
     words = bench_words(F.col("text"))
-    none = F.array(F.lit(None).cast("bigint"))
+    head = F.array(F.xxhash64("key", "doc_id"))  # the row with the count: any number that deals it well
     judged = (
-        rows.select("doc_id", "key", _bound(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.concat(none, kept(w)).alias("fps"))).alias("r"))
-        .select("doc_id", "key", "r.n_words", F.explode("r.fps").alias("fp"))
+        rows.select("doc_id", "key", _bound(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.concat(head, kept(w)).alias("fps"))).alias("r"))
+        .select("doc_id", "key", "r.n_words", F.posexplode("r.fps").alias("place", "fp"))
         .join(marks.withColumn("known", F.lit(True)), "fp", "left")
-        .where("fp is null or known")
-        .select("doc_id", "key", "n_words", F.col("fp").isNotNull().alias("suspect"))
+        .where("place = 0 or known")
+        .select("doc_id", "key", "n_words", (F.col("place") > 0).alias("suspect"))
     )
     judged = tables.keep(judged, "judged")
     counted = judged.where("not suspect").select("doc_id", "key", "n_words")
-    suspects = judged.where("suspect").select("key").distinct()
-    texts = rows.join(suspects, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    row_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    suspects = tables.keep(judged.where("suspect").groupBy("key").agg(F.min(row_id).alias("row_id")), "suspect-keys")
+    texts = rows.withColumn("row_id", row_id).join(_maybe_broadcast(suspects), ["key", "row_id"], "left_semi")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
     texts = tables.keep(texts.select("key", bench_words(F.col("text")).alias("words")), "suspects")
 
     def positions(side: DataFrame, words_col: str, keep: list[str], name: str) -> DataFrame:
@@ -133,24 +136,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     m = F.size("item_words")
     first = F.greatest(F.lit(0), -F.col("shift"))
     last = F.least(m, F.size("words") - F.col("shift")) - 1
-    equal = F.transform(
-        F.sequence(first, last), lambda t: F.when(F.get("item_words", t) == F.get("words", t + F.col("shift")), F.lit(1)).otherwise(F.lit(0))
-    )
-    # run[t]: equal words in a row up to t
-    run = F.aggregate(
-        equal,
-        F.array().cast("array<int>"),
-        lambda acc, e: F.concat(acc, F.array(F.when(e == 1, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + 1).otherwise(F.lit(0)))),
-    )
-    ends = F.filter(
-        F.transform(run, lambda r, t: F.when(r >= WINDOW, t + first + F.col("shift"))), lambda x: x.isNotNull()
+    # the places that differ cut the diagonal into runs of equal words
+    differ = F.filter(F.sequence(first, last), lambda t: F.get("item_words", t) != F.get("words", t + F.col("shift")))
+    runs = _bound(
+        F.concat(F.array(first - 1), differ, F.array(last + 1)),
+        lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda k: F.struct((F.get(x, k) + 1).alias("a"), (F.get(x, k + 1) - F.get(x, k) - 1).alias("n"))),
     )
     extended = (
         diagonals.join(texts, "key")
         .join(item_bodies, "item_key")
         .where(last - first + 1 >= WINDOW)
-        .select("key", "item_key", F.explode(ends).alias("end"))
-        .select("key", "item_key", (F.col("end") - (WINDOW - 1)).alias("a"), F.lit(WINDOW).alias("n"))
+        .select("key", "item_key", "shift", F.explode(F.filter(runs, lambda r: r["n"] >= WINDOW)).alias("r"))
+        .select("key", "item_key", (F.col("r.a") + F.col("shift")).alias("a"), F.col("r.n").alias("n"))
     )
     hits = extended
     for size in short_sizes:
@@ -190,4 +187,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS // 10 else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
