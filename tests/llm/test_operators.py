@@ -198,24 +198,59 @@ def test_decontamination(spark, broadcast, monkeypatch):
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_sketch(spark):
-    rows = [(i, t, x) for i, t, x in odd_texts(3) if i != 1]
-    got = {r.doc_id: r for r in sketch.edited_fingerprints(table(spark, rows)).select("*", sketch.likeness(F.col("s"), F.col("e")).alias("near"), sketch.likeness(F.col("s"), F.col("next_s")).alias("far")).collect()}
+def brute_sketch(text, scale):
+    """Sorted signed hashes: all below 1/scale of the range, the LEAST lowest ones at least."""
+    words = [w for w in re.split("[\t\n\x0b\x0c\r ]+", text or "") if w]
+    shingles = [words[i : i + 5] for i in range(len(words) - 4)] or [[" ".join(words)]]
+    found = set()
+    for s in shingles:
+        h = 42
+        for w in s:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        found.add(h - (1 << 64) if h >> 63 else h)
+    found = sorted(found)
+    return found[: max(sketch.LEAST, sum(x < -(1 << 63) + (1 << 64) // scale for x in found))]
+
+
+def brute_likeness(a, b, scale):
+    ends = [max(s[-1], -(1 << 63) + (1 << 64) // scale - 1) if len(s) >= sketch.LEAST else (1 << 63) - 1 for s in (a, b)]
+    a, b = ({x for x in s if x <= min(ends)} for s in (a, b))
+    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
+
+
+@pytest.mark.parametrize("parts", [1, 30])
+def test_sketch(spark, parts, monkeypatch):
+    monkeypatch.setattr(sketch, "shuffle_parts", lambda spark: parts)
+    r = random.Random(4)
+    long = [" ".join(r.choice("abcdefghijk") + str(r.randrange(40)) for _ in range(n)) for n in (70, 150, 400, 2000)]
+    rows = [(i, t, x) for i, t, x in odd_texts(3) if i != 1] + [(700 + i, t, "en") for i, t in enumerate(long)] + [(710, long[2] + " " + long[0], "en"), (711, long[3][:900], "en")]
+    scale = sketch.FINE
+    near = lambda x, y: sketch.likeness(F.col(x), F.col(y), scale)
+    got = {g.doc_id: g for g in sketch.edited_fingerprints(table(spark, rows)).select("*", near("s", "e").alias("near"), near("s", "next_s").alias("far")).collect()}
     order = sorted(((-(1 << 63) if i is None else i), t or "") for i, t, _ in rows)
     for k, (i, t) in enumerate(order):
         n = len(t) // 4
-        edited = t[: len(t) - n] + order[(k + 1) % len(order)][1][:n]
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - n] + after[:n]
         g = got[None if i == -(1 << 63) else i]
         assert (g.n_chars, g.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= g.near <= 1 and 0 <= g.far <= 1 and len(g.s) > 0
-        assert g.next_s == got[None if order[(k + 1) % len(order)][0] == -(1 << 63) else order[(k + 1) % len(order)][0]].s
+        s, e, x = (brute_sketch(y, scale) for y in (t, edited, after))
+        assert (list(g.s), list(g.e), list(g.next_s)) == (s, e, x)
+        assert math.isclose(g.near, brute_likeness(s, e, scale)) and math.isclose(g.far, brute_likeness(s, x, scale))
     assert np.mean([g.near for g in got.values()]) > np.mean([g.far for g in got.values()]) + 0.3
-    assert got[100].s == got[next(i for i, t, _ in rows if t and t.split() == [x for x in dict((a, b) for a, b, _ in rows)[100].split()])].s
     assert sketch.edited_fingerprints(table(spark, [])).count() == 0
     one = sketch.edited_fingerprints(table(spark, [(1, "abcdefgh", "en")])).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def test_rows_without_an_id_spread_over_ranges(spark):
+    """Each row is followed once, and by every row once, whatever ids repeat or lack."""
+    rows = [(None if i % 3 else 5, f"text {i % 50}", "en") for i in range(150)]
+    got = sketch.next_rows(table(spark, rows), 8).collect()
+    assert Counter(x.text for x in got) == Counter(x.next_text for x in got) == Counter(t for _, t, _ in rows)
+    assert Counter((x.doc_id, x.text) for x in got) == Counter((i, t) for i, t, _ in rows)
+
+
 def test_short_texts_keep_their_likeness(spark):
     r = random.Random(9)
     grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}

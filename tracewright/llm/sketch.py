@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import shuffle_parts
+from tracewright.llm.common import hashed_sample, shuffle_parts
 
 SHINGLE = 5
 SCALE = 8
 #: Scale of the sketches of edited_fingerprints.
 FINE = 2
 LEAST = 64
+#: Rows of which the ranges of doc_id are cut, at least.
+SAMPLE = 20_000
 _LOW = -(1 << 63)
 _HIGH = (1 << 63) - 1
 
@@ -89,49 +91,55 @@ def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
     return _shared(a, b, scale, lambda x, y: F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))).cast("double")
 
 
-def next_rows(docs: DataFrame, extra: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
-    """(doc_id, text, *extra, next_text, *next_extra): each row with the next one by ascending doc_id, after the last the first.
+def _sort_text(x: Column) -> Column:
+    """16 hex digits in the order of signed numbers."""
+    return F.lpad(F.hex(x.bitwiseXOR(F.lit(_LOW))), 16, "0")
 
-    extra: columns made from `text`, once a row, before rows are dealt. Rows are dealt once, by ranges of doc_id cut at
-    approximate quantiles, and sorted inside a range. The first row of each range is also dealt to the range before it
-    (to the last one, of the first), so no row needs a global window. Null ids come first; equal ids are ordered by text;
-    a range holds one id at least, so only rows that repeat one id without end would fill one.
+
+def _range_number(key: Column, cuts: list[str]) -> Column:
+    """Number of the sorted cuts at or below key, by binary search in one literal array: the plan does not grow with them."""
+    if not cuts:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(cuts)), ",")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.coalesce(F.get(table, at + step - 1), F.lit("")) <= key), at + step).otherwise(at)
+    )
+
+
+def next_rows(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(doc_id, text, next_text): each row with the next one by ascending doc_id, after the last the first.
+
+    Rows are dealt once, by ranges of (doc_id, hash of the text) cut at quantiles of a bounded sample, and sorted inside a
+    range. The first row of each range is also dealt to the range before it (to the last one, of the first), so no row
+    needs a global window. Null ids come first; rows of one id are ordered by that hash and their text, so they spread over
+    ranges too: only rows wholly alike share one.
     """
-    extra = extra or {}
     parts = parts or shuffle_parts(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("k", F.concat(_sort_text(F.coalesce("doc_id", F.lit(_LOW))), F.when(F.col("doc_id").isNull(), F.lit("0")).otherwise(F.lit("1")), _sort_text(F.xxhash64("text"))))
     n = parts * 4
-    found = rows.select(F.percentile_approx("k", [i / n for i in range(1, n)], 100_000)).first()[0] or []
-    cuts = sorted(set(found))
-    placed = rows.withColumn("b", _tree(F.col("k"), cuts, 0, len(cuts)))
+    sample = sorted(r[0] for r in hashed_sample(rows.select("k"), max(SAMPLE, 20 * n), "k").collect())
+    cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+    placed = rows.withColumn("b", _range_number(F.col("k"), cuts))
     lows = placed.groupBy("b").agg(F.min("k").alias("k")).orderBy("b").collect()  # a row for each range
-    before = {lows[i][0]: lows[i - 1][0] for i in range(len(lows))} or {0: 0}
+    used = [r[0] for r in lows]
+    before = dict(zip(used, [*used[-1:], *used]))
+    to = F.split(F.lit(",".join(str(before.get(i, 0)) for i in range(len(cuts) + 1))), ",")
     heads = placed.where(F.col("k").isin([r[1] for r in lows])).groupBy("b").agg(F.min(F.struct("k", "text")).alias("r"))
-    to = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    ghosts = heads.select(F.col("r.k").alias("k"), F.col("r.text").alias("text"), to[F.col("b")].alias("b"), F.lit(1).alias("ghost"))
-    both = placed.withColumn("ghost", F.lit(0)).unionByName(ghosts).withColumns(extra)
+    ghosts = heads.select(F.lit(None).cast("long").alias("doc_id"), F.col("r.text").alias("text"), F.col("r.k").alias("k"), F.get(to, F.col("b")).cast("int").alias("b"), F.lit(1).alias("ghost"))
+    both = placed.withColumn("ghost", F.lit(0)).unionByName(ghosts)
     w = Window.partitionBy("b").orderBy("ghost", "k", "text")
-    return (
-        both.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("text", *extra)})
-        .where("ghost = 0")
-        .select(F.when(F.col("k") != _LOW, F.col("k")).alias("doc_id"), "text", *extra, "next_text", *(f"next_{c}" for c in extra))
-    )
-
-
-def _tree(key: Column, cuts: list, lo: int, hi: int) -> Column:
-    """Number of cuts at or below key, by binary search in a CASE tree."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < F.lit(cuts[mid]), _tree(key, cuts, lo, mid)).otherwise(_tree(key, cuts, mid + 1, hi))
+    return both.withColumn("next_text", F.lead("text").over(w)).where("ghost = 0").select("doc_id", "text", "next_text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, s, e, next_s): sketches (of scale FINE) of every text, of its edited text and of the next text.
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next row's.
-    Null texts count as empty. A single row is its own next row. Repeated rows stay repeated, ordered by doc_id and
-    text. Other columns are ignored; no rows give no rows.
+    Null texts count as empty. A single row is its own next row. Repeated rows stay repeated; rows of one doc_id are ordered
+    by the hash of their text. Other columns are ignored; no rows give no rows.
     """
     n = F.char_length("text")
     part = F.floor(n / 4).cast("int")
