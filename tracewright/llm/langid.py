@@ -1,8 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is cut into stretches of ``STEPS`` bytes (all of them, to the end). A GRU reads each stretch forwards and another one
-backwards; at every position both states give probabilities of the languages; a document's are the mean over its
-positions. The network is trained here in numpy by backpropagation through time on stretches of a bounded sample.
+A text is read in stretches of ``STEPS`` bytes (all of them, to the end). A GRU reads each stretch forwards and another one
+backwards, each beginning ``LEAD`` bytes outside the stretch, so that no state starts in the middle of a word or character
+that it has to label. At every position both states give probabilities of the languages; a document's are the mean over
+its positions. The network is trained here in numpy by backpropagation through time on stretches of ``LEARNED`` bytes, drawn
+from the whole texts of a bounded sample of rows.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pyspark.sql.types import StructType
 from tracewright.llm.common import bound_batches, hashed_sample
 from tracewright.llm.sampling import remainder
 
-STEPS = 64
+STEPS = 256
+LEAD = 16
+LEARNED = 64
 HIDDEN = 12
 SAMPLE_ROWS = 2000
-STRETCHES_PER_ROW = 8
 UNKNOWN = "und"
 SLICE_ROWS = 512
 
@@ -100,7 +103,7 @@ class LanguageModel:
         return p.reshape(*s.shape[:2], -1), s
 
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 160, batch: int = 192, rate: float = 0.02) -> LanguageModel:
-        """x: stretches (n, STEPS), y: language numbers. Languages are drawn alike often."""
+        """x: stretches (n, LEARNED), y: language numbers. Languages are drawn alike often."""
         rng = np.random.default_rng(7)
         groups = [np.flatnonzero(y == k) for k in range(len(self.langs))]
         params = {"fe": self.fw.e, "fu": self.fw.u, "fb": self.fw.b, "be": self.bw.e, "bu": self.bw.u, "bb": self.bw.b, "o": self.o, "c": self.c}
@@ -129,30 +132,33 @@ class LanguageModel:
                 params[n] -= rate * min(1.0, 2 * (1 - step / (rounds + 1))) * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-7)
         return self
 
-    def score(self, texts: list[bytes], block: int = 2048) -> np.ndarray:
+    def score(self, texts: list[bytes], block: int = 512) -> np.ndarray:
         """Mean probabilities of each text over all of its bytes; block: stretches at a time."""
         total = np.zeros((len(texts), len(self.langs)))
         sizes = np.array([len(t) for t in texts], np.int64)
         pieces = -(-sizes // STEPS)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        padded = b"".join(t + b" " * (-len(t) % STEPS) for t in texts)
-        grid = np.frombuffer(padded, np.uint8).reshape(-1, STEPS)
-        left = sizes[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STEPS
-        for a in range(0, len(grid), block):
-            p, _ = self.positions(np.ascontiguousarray(grid[a : a + block].T))
-            short = np.minimum(left[a : a + block], STEPS)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        space = b" " * (STEPS + LEAD)  # around every text
+        joined = np.frombuffer(space + b"".join(t + space for t in texts), np.uint8)
+        begin = np.cumsum(sizes + len(space)) - sizes
+        at = begin[owner] + number * STEPS - LEAD
+        left = np.minimum(sizes[owner] - number * STEPS, STEPS)
+        for a in range(0, len(at), block):
+            grid = joined[at[a : a + block] + np.arange(STEPS + 2 * LEAD)[:, None]]
+            p = self.positions(grid)[0][LEAD:-LEAD]
+            short = left[a : a + block]
             if (short < STEPS).any():
                 p = p * (np.arange(STEPS)[:, None] < short)[:, :, None]
             np.add.at(total, owner[a : a + block], p.sum(0))
         return total / np.maximum(sizes, 1)[:, None]
 
 
-def stretches(text: str, most: int) -> np.ndarray:
-    """Up to `most` stretches, evenly spread over the whole text."""
+def stretches(text: str) -> np.ndarray:
+    """The whole text in stretches of LEARNED bytes."""
     raw = text.encode("utf-8", "surrogatepass")
-    raw += b" " * (-len(raw) % STEPS)
-    grid = np.frombuffer(raw, np.uint8).reshape(-1, STEPS)
-    return grid[np.unique(np.linspace(0, len(grid) - 1, min(most, len(grid))).astype(int))] if len(grid) else grid
+    raw += b" " * (-len(raw) % LEARNED)
+    return np.frombuffer(raw, np.uint8).reshape(-1, LEARNED)
 
 
 def train(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS) -> LanguageModel:
@@ -167,7 +173,7 @@ def train(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS) -> Language
     langs = sorted({lang for lang, _ in sample})
     model = LanguageModel(langs)
     if len(langs) > 1:
-        grids = [stretches(t, STRETCHES_PER_ROW) for _, t in sample]
+        grids = [stretches(t) for _, t in sample]
         truth = np.repeat([langs.index(lang) for lang, _ in sample], [len(g) for g in grids])
         model.fit(np.concatenate(grids), truth)
     return model

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import bound_batches
 from tracewright.llm.sampling import labelled_sample, remainder
 
 PASSAGE = 64
@@ -150,6 +151,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: in
       labels every score is that of the untrained network; with one label only, near that label.
     * Repeated rows stay repeated; other columns are ignored. No rows give no rows.
     """
+    bound_batches(docs.sparkSession)
     model = train(docs, labels, modulus, held, rows_per_class)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import bound_batches
 from tracewright.llm.sampling import labelled_sample, remainder
 
 SAMPLE_PER_CLASS = 2500
 CUT = 0.5
 CONTEXT = 12
-TERMS = 2000
+#: Words of the window of which the densest counts.
+WINDOW = 50
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»‹›]")
 _QUOTES = frozenset("\"“”„«»‹›")
 #: Words of saying in English, German, French and Spanish.
@@ -122,7 +124,7 @@ class LexiconAutomaton:
 
 
 def learn_lexicon(texts: list[list[str]], truth: list[int]) -> dict[str, bool]:
-    """Terms and word beginnings of at least 4 letters with log odds of over 3 in toxic documents; at most TERMS.
+    """Terms and word beginnings of at least 4 letters with log odds of over 3 in toxic documents.
 
     In toxic documents a word counts once for each pair of neighbours, so words that merely come along in many copies of
     one document stay rare; in the others it counts each time.
@@ -166,7 +168,7 @@ def learn_lexicon(texts: list[list[str]], truth: list[int]) -> dict[str, bool]:
         if bad[w] >= 1.5 * max([bad[x] for x in strong if x.startswith(stem) and not x.endswith("*")], default=0):
             out[stem] = True
     for w in sorted((w for w in strong if not w.endswith("*")), key=lambda w: (-strong[w] * bad[w], w)):
-        if len(out) < TERMS and not any(w[:k] in out and out[w[:k]] for k in range(4, len(w) + 1)):
+        if not any(w[:k] in out and out[w[:k]] for k in range(4, len(w) + 1)):
             out[w] = False
     return out
 
@@ -220,7 +222,8 @@ class Detector:
                 near += 1
             else:
                 exact += 1
-        dense = max((sum(1 for j in at[k : k + 40] if j < i + 50) for k, i in enumerate(at)), default=0)
+        places = np.array(at)
+        dense = int((np.searchsorted(places, places + WINDOW) - np.arange(len(at))).max()) if at else 0
         return np.log1p(np.array([exact, near, stem, quoted, dense, 100 * len(at) / len(words)], np.float64))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -277,6 +280,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: i
       out. Without labels the lexicon is empty and every score is 0.5 or less.
     * Repeated rows stay repeated; other columns are ignored. No rows give no rows.
     """
+    bound_batches(docs.sparkSession)
     detector = fit(labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), modulus) != held, rows_per_class))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
