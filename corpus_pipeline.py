@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps exactly one row of each near-duplicate group, that of least id; a row without an id only where none has one.
 
-    Of a group's rows of the least id (or without any) the one of least row hash stays. Texts are dealt by id and row hash
-    and streamed past the rows that stay; only those of wholly equal rows are sorted.
+    Of a group's rows of the least id (or without any) the one of least row hash stays. Texts are dealt by id and row hash,
+    so rows that share an id spread.
     """
     # nulls leave no trace in a hash, so where they are is hashed too
     row = F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = least.select(F.col("r.doc_id").alias("kept_id"), F.col("r.row").alias("kept_row"), "r.n_rows")
     stays = Tables(spark).keep(stays, "kept-rows")
     held = docs.select(*COLUMNS, row.alias("row"))
-    held = held.join(stays.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")))
+    held = held.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")))
     out = held.where("n_rows = 1").select(*COLUMNS)
     if not stays.where("n_rows > 1").isEmpty():
         out = out.unionByName(held.where("n_rows > 1").dropDuplicates(["doc_id", "row"]).select(*COLUMNS))
@@ -69,7 +69,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contamination(docs, benchmark).where("contaminated").select(F.col("key").alias("gone_key")).distinct()
     keys = Tables(spark).keep(found, "contaminated-texts")
-    keys = F.broadcast(keys) if keys.count() <= MOST_BROADCAST_KEYS else keys.hint("shuffle_hash")
+    keys = F.broadcast(keys) if keys.count() <= MOST_BROADCAST_KEYS else keys
     return docs.join(keys, decontaminate.text_key(F.col("text")) == F.col("gone_key"), "left_anti").select(*COLUMNS)
 
 
