@@ -38,13 +38,14 @@ def top_neighbors(nbr: DataFrame, v: int) -> DataFrame:
     return kept.withColumn("up", F.count("*").over(Window.partitionBy("fp")) - F.col("rk") + 1)
 
 
-def frequency_rank(freq: DataFrame) -> DataFrame:
+def frequency_rank(freq: DataFrame, digits: int = 3) -> DataFrame:
     """freq with rank 1, 2, ... by (cnt descending, fp).
 
-    No global sort: rows are ranked within (cnt, first three digits of fp) and shifted by the number of rows of the classes
-    before, which come from one small aggregate.
+    No global sort: rows are ranked within (cnt, first digits of fp) and shifted by the number of rows of the classes
+    before, which come from one small aggregate. A count has 16 ** digits classes: take more digits where those of a
+    single count would be too large for a task.
     """
-    rows = freq.withColumn("cls", F.substring("fp", 1, 3))
+    rows = freq.withColumn("cls", F.substring("fp", 1, digits))
     sizes = rows.groupBy("cnt", "cls").agg(F.count("*").alias("n"))
     higher = sizes.groupBy("cnt").agg(F.sum("n").alias("n"))
     above = higher.select("cnt", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))

@@ -47,7 +47,7 @@ def _doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return T.backups(T.doc_trace(spark, sf_dir, stream=""))
+    return T.backups(T.doc_trace(spark, sf_dir, stream=""), top=T.last_block(spark, sf_dir))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ def basic_attack_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _BACKUPS + "," + _RANKED + " SELECT n AS unique_chunks, c AS correct, round(100.0 * c / n, 6) AS rate FROM (SELECT count(*) AS n FROM ft), (SELECT CAST(count(*) FILTER (correct) AS BIGINT) AS c FROM pairs)")
 def basic_attack_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.basic_summary(*_whole(spark, sf_dir))
+    return I.basic_summary_within(T.doc_trace(spark, sf_dir, stream=""), T.in_first(0.9, T.last_block(spark, sf_dir)))
 
 
 @query("WITH " + _BACKUPS + "," + _RANKED + f" SELECT rank - 1 AS pos, m_fp, c_fp FROM pairs WHERE rank <= {U}")

@@ -6,6 +6,10 @@ so neighbours are found block by block.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +35,34 @@ def _spread(rows: DataFrame, key: str) -> DataFrame:
 def doc_trace(spark: SparkSession, sf_dir: str, chunk_chars: int = CHUNK_CHARS, stream: str = "source") -> DataFrame:
     """Fixed-size character chunks of each document."""
     docs = _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *([stream] if stream else [])).where("length(text) > 0"), "doc_id")
-    n = F.floor((F.char_length("text") - 1) / chunk_chars).cast("int")
     key = F.col(stream) if stream else F.lit("all")
-    return docs.select(key.alias("stream"), "doc_id", "text", F.explode(F.sequence(F.lit(0), n)).alias("i")).select(
+    # one pass over a text; substring() would walk it from the start for every chunk
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0))
+    return docs.select(key.alias("stream"), F.col("doc_id").alias("block"), F.posexplode(chunks).alias("i", "chunk")).select(
         "stream",
-        F.col("doc_id").alias("block"),
-        _seq(F.col("doc_id"), F.col("i")).alias("seq"),
-        short_fp(F.substring("text", F.col("i") * chunk_chars + 1, F.lit(chunk_chars))).alias("fp"),
-        F.octet_length(F.substring("text", F.col("i") * chunk_chars + 1, F.lit(chunk_chars))).cast("long").alias("size"),
+        "block",
+        _seq(F.col("block"), F.col("i")).alias("seq"),
+        short_fp(F.col("chunk")).alias("fp"),
+        F.octet_length("chunk").cast("long").alias("size"),
         F.lit(10).cast("short").alias("cratio"),
     )
 
 
-def backups(trace: DataFrame, share: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """(auxiliary, target): the blocks of the first `share` of the ids, and all of them."""
-    top = trace.agg(F.max("block")).first()[0]
-    return trace.where(F.col("block") < F.lit(share * ((top or 0) + 1))), trace
+def last_block(spark: SparkSession, sf_dir: str) -> int:
+    """The largest doc_id with a text: the last block of doc_trace, without making it."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("text <> ''").agg(F.max("doc_id")).first()[0] or 0
+
+
+def in_first(share: float, top: int) -> Column:
+    """Blocks of the first `share` of the ids up to top."""
+    return F.col("block") < F.lit(share * (top + 1))
+
+
+def backups(trace: DataFrame, share: float = 0.9, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(auxiliary, target): the blocks of the first `share` of the ids up to top (looked up where not given), and all of them."""
+    if top is None:
+        top = trace.agg(F.max("block")).first()[0] or 0
+    return trace.where(in_first(share, top)), trace
 
 
 def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +107,31 @@ def parse_text_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_text_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Text traces below path, a stream per file; seq is the line number."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("stream"), F.posexplode(F.split("value", "\n")).alias("seq", "value"))
-    return parse_text_lines(files.withColumn("seq", F.col("seq").cast("long")))
+    """Text traces below path, a stream per file; seq grows along a file (a block's start and the bytes of its lines before).
+
+    Files are read line by line and may be split at any line. A folder named stream=... names the stream of its files, as
+    write_text_trace makes them.
+    """
+    file = F.col("_metadata.file_path")
+    named = F.url_decode(F.regexp_extract(file, "/stream=([^/]*)/", 1))
+    stream = F.when(named != "", named).otherwise(F.col("_metadata.file_name"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds each line's place behind the block's start: rows of a split come in file order."""
+        at, held = None, 0
+        for b in batches:
+            files, starts = b.column(1).to_pylist(), b.column(2).to_pylist()
+            sizes = pc.binary_length(b.column(3).cast(pa.binary())).to_pylist()
+            out = []
+            for f, start, n in zip(files, starts, sizes):
+                if (f, start) != at:
+                    at, held = (f, start), start
+                out.append(held)
+                held += n + 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64()), b.column(3)], ["stream", "seq", "value"])
+
+    lines = spark.read.text(path).select(stream.alias("stream"), file.alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return parse_text_lines(lines.mapInArrow(number, "stream string, seq long, value string"))
 
 
 def format_fp(fp: Column) -> Column:
