@@ -7,6 +7,7 @@ Traces are derived from the driver's tables: 64-character chunks of documents (s
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from tracewright.operators import counting as C
 from tracewright.operators import defense as D
 from tracewright.operators import inference as I
 from tracewright.operators import store as S
-from tracewright.operators.chunking import VariableParams, chunk_files
+from tracewright.operators.chunking import RABIN_MODULUS, RABIN_PRIME, VariableParams, chunk_files
 from tracewright.operators.segments import pack_containers, segment
 from tracewright.plans import reports as R
 from tracewright.sources import traces as T
@@ -187,17 +188,73 @@ def expand_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cand.groupBy("c_fp").agg(F.min_by("m_fp", order).alias("m_fp"))
 
 
-@query()
+def walk_sql(u: int = U, v: int = V, leak: float = 0.0) -> str:
+    """Tables after aux and tgt (stream, seq, fp): frequencies, ranks, neighbours, seeds and the whole walk.
+
+    Keyed by the inferred chunk, so a level joins its own pairs and leaves out all that were inferred before.
+    """
+    lags = ", ".join(f"{n}_lag AS (SELECT *, lag(fp) OVER (PARTITION BY stream ORDER BY seq) AS prev FROM {n})" for n in ("aux", "tgt"))
+    if leak:
+        first = f"""leaked AS (SELECT fp FROM ft WHERE ('0x' || substr(md5(fp), 1, 8))::BIGINT % 10000 <= {int(leak * 10000)}),
+seeds AS (SELECT row_number() OVER (ORDER BY fp) - 1 AS pos, fp AS m_fp, fp AS c_fp FROM leaked SEMI JOIN fa USING (fp)),
+taken AS (SELECT c_fp FROM seeds)"""
+    else:
+        first = f"""leaked AS (SELECT fp FROM ft WHERE false),
+seeds AS (SELECT rank - 1 AS pos, ra.fp AS m_fp, rt.fp AS c_fp FROM ra JOIN rt USING (rank) WHERE rank <= {u}),
+taken AS (SELECT fp AS c_fp FROM rt WHERE rank <= {u})"""
+    return f"""
+fa AS (SELECT fp, count(*) AS cnt FROM aux GROUP BY 1), ft AS (SELECT fp, count(*) AS cnt FROM tgt GROUP BY 1),
+ra AS (SELECT fp, row_number() OVER (ORDER BY cnt DESC, fp) AS rank FROM fa),
+rt AS (SELECT fp, row_number() OVER (ORDER BY cnt DESC, fp) AS rank FROM ft),
+{lags},
+sides AS (
+  SELECT 0 AS side, 'a' AS who, fp, prev AS nfp, seq FROM aux_lag UNION ALL SELECT 1, 'a', prev, fp, seq FROM aux_lag
+  UNION ALL SELECT 0, 't', fp, prev, seq FROM tgt_lag UNION ALL SELECT 1, 't', prev, fp, seq FROM tgt_lag
+),
+nbr AS (SELECT side, who, fp, nfp, count(*) AS cnt, min(seq) AS first_seq FROM sides WHERE fp IS NOT NULL AND nfp IS NOT NULL GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY side, who, fp ORDER BY cnt DESC, first_seq, nfp) AS rk FROM nbr QUALIFY rk <= {v}),
+up AS (SELECT *, count(*) OVER (PARTITION BY side, who, fp) - rk + 1 AS up FROM top),
+lists AS MATERIALIZED (
+  SELECT who, fp, coalesce(list(nfp ORDER BY up) FILTER (side = 0), []) AS l, coalesce(list(nfp ORDER BY up) FILTER (side = 1), []) AS r
+  FROM up GROUP BY 1, 2),
+{first},
+walk(c_fp, m_fp, level, pos) USING KEY (c_fp) AS (
+  SELECT c_fp, m_fp, 0, pos FROM seeds
+  UNION
+  SELECT c_fp, m_fp, level + 1, row_number() OVER (ORDER BY parent, side, up DESC) - 1 FROM (
+    SELECT p.c AS c_fp, p.m AS m_fp, level, parent, p.side AS side, p.up AS up FROM (
+      SELECT w.level, w.pos AS parent, unnest(
+        list_transform(range(1, least(len(a.l), len(t.l)) + 1), lambda i: {{'side': 0, 'up': i, 'm': a.l[i], 'c': t.l[i]}})
+        || list_transform(range(1, least(len(a.r), len(t.r)) + 1), lambda i: {{'side': 1, 'up': i, 'm': a.r[i], 'c': t.r[i]}})) AS p
+      FROM walk w JOIN lists a ON a.who = 'a' AND a.fp = w.m_fp JOIN lists t ON t.who = 't' AND t.fp = w.c_fp)
+    WHERE c_fp NOT IN (SELECT c_fp FROM recurring.walk) AND c_fp NOT IN (SELECT c_fp FROM taken)
+    QUALIFY row_number() OVER (PARTITION BY c_fp ORDER BY parent, side, up DESC) = 1)
+)"""
+
+
+_SUMMARY = """
+SELECT (SELECT count(*) FROM ft) AS unique_chunks, (SELECT count(*) FROM leaked) AS leaked,
+       (SELECT count(*) FROM leaked SEMI JOIN fa USING (fp)) AS leaked_in_aux, count(*) AS inferred,
+       count(*) FILTER (ok) + (SELECT count(*) FROM leaked) - (SELECT count(*) FROM leaked SEMI JOIN fa USING (fp)) AS correct,
+       round(100.0 * (count(*) FILTER (ok) + (SELECT count(*) FROM leaked) - (SELECT count(*) FROM leaked SEMI JOIN fa USING (fp)))
+             / (SELECT count(*) FROM ft), 6)::DOUBLE AS rate"""
+_ONE_STREAM = _TRACE.replace("trace AS", "chunks AS", 1) + """,
+tgt AS (SELECT 'all' AS stream, block, seq, fp FROM chunks),
+aux AS (SELECT * FROM tgt WHERE block < {share} * ((SELECT max(block) FROM chunks) + 1)),"""
+_WALK = "WITH RECURSIVE " + _ONE_STREAM.format(share=0.9)
+
+
+@query(_WALK + walk_sql() + " SELECT level, row_number() OVER (ORDER BY level, pos) - 1 AS pos, m_fp, c_fp, m_fp = c_fp AS correct FROM walk")
 def locality_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.locality_inference(*_whole(spark, sf_dir), u=U, v=V)[0]
 
 
-@query()
+@query(_WALK + walk_sql() + _SUMMARY + " FROM (SELECT m_fp = c_fp AS ok FROM walk)")
 def locality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.locality_inference(*_whole(spark, sf_dir), u=U, v=V)[1]
 
 
-@query()
+@query(_WALK + walk_sql(leak=LEAK) + _SUMMARY + " FROM (SELECT m_fp = c_fp AS ok FROM walk)")
 def locality_leakage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.locality_inference(*_whole(spark, sf_dir), u=U, v=V, leakage=LEAK)[1]
 
@@ -223,7 +280,10 @@ def minhash_encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.minhash_encrypt(_segments(spark, sf_dir)).select("stream", "seq", "c_fp", "size")
 
 
-@query()
+@query("WITH RECURSIVE " + _SEGMENTS + """,
+low AS (SELECT stream, seg_id, list_slice(list_sort(list(DISTINCT fp)), 1, 3) AS low FROM segs GROUP BY 1, 2),
+keys AS (SELECT stream, seg_id, low[('0x' || substr(md5('0-' || stream || '-' || seg_id), 1, 8))::BIGINT % 10000 % len(low) + 1] AS key_fp FROM low)
+SELECT stream, seq, substr(md5(unhex(fp || key_fp)), 1, 12) AS c_fp, size FROM segs JOIN keys USING (stream, seg_id)""")
 def kminhash_encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.minhash_encrypt(_segments(spark, sf_dir), k=3).select("stream", "seq", "c_fp", "size")
 
@@ -243,16 +303,60 @@ def combined_encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.combined(_segments(spark, sf_dir)).select("stream", "new_seq", "c_fp", "size")
 
 
-@query()
+def _scheme_sql(scheme: str) -> str:
+    """Summary of the walk against the transformed streams of the sources; the auxiliary streams stay plain."""
+    made = {
+        "plain": ("SELECT stream, seq, fp FROM base", "", "m_fp = c_fp"),
+        "minhash": ("SELECT stream, seq, c_fp AS fp FROM enc", "SELECT c_fp, fp AS p_fp FROM enc QUALIFY row_number() OVER (PARTITION BY c_fp ORDER BY stream DESC, seq DESC) = 1", ""),
+        "scramble": ("SELECT stream, new_seq AS seq, fp FROM mixed", "", "m_fp = c_fp"),
+        "combined": (
+            "SELECT stream, new_seq AS seq, c_fp AS fp FROM both_made",
+            "SELECT c_fp, fp AS p_fp FROM both_made QUALIFY row_number() OVER (PARTITION BY c_fp ORDER BY stream DESC, seq DESC) = 1",
+            "",
+        ),
+    }
+    target, truth, right = made[scheme]
+    before = {"plain": _SEGMENTS, "minhash": _MINHASH, "scramble": _SCRAMBLE, "combined": _SCRAMBLE}[scheme]
+    if scheme == "combined":
+        before += """,
+low AS (SELECT stream, seg_id, min(fp) AS key_fp FROM segs GROUP BY 1, 2),
+both_made AS (SELECT m.*, substr(md5(unhex(m.fp || key_fp)), 1, 12) AS c_fp FROM mixed m JOIN low USING (stream, seg_id))"""
+    found = f"(SELECT {right} AS ok FROM walk)" if right else "(SELECT coalesce(m_fp = p_fp, false) AS ok FROM walk LEFT JOIN truth USING (c_fp))"
+    return (
+        f"SELECT *, '{scheme}' AS scheme FROM (WITH RECURSIVE " + before
+        + f",\naux AS (SELECT stream, seq, fp FROM base WHERE block < 0.9 * ((SELECT max(block) FROM base) + 1)), tgt AS MATERIALIZED ({target}),"
+        + (f" truth AS ({truth})," if truth else "") + walk_sql() + _SUMMARY + f" FROM {found})"
+    )
+
+
+SCHEMES = ("plain", "minhash", "scramble", "combined")
+
+
+@query("\nUNION ALL\n".join(map(_scheme_sql, SCHEMES)))
 def defense_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aux, target = _whole(spark, sf_dir)
-    return R.evaluate_defense(aux, target, "combined", SEG_MIN, SEG_MAX, u=U, v=V)
+    """Inference against every scheme, source by source: segments and neighbours stay within a source."""
+    aux, target = T.backups(_doc(spark, sf_dir), top=T.last_block(spark, sf_dir))
+    return reduce(DataFrame.unionByName, [R.evaluate_defense(aux, target, s, SEG_MIN, SEG_MAX, u=U, v=V) for s in SCHEMES])
 
 
-@query()
+@query("\nUNION ALL\n".join(
+    f"SELECT *, '{x}' AS aux FROM (WITH " + _ONE_STREAM.format(share=x) + _RANKED.replace("FROM trace", "FROM tgt")
+    + " SELECT n AS unique_chunks, c AS correct, round(100.0 * c / n, 6)::DOUBLE AS rate FROM (SELECT count(*) AS n FROM ft), (SELECT CAST(count(*) FILTER (correct) AS BIGINT) AS c FROM pairs))"
+    for x in (0.5, 0.9)
+))
 def aux_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = T.doc_trace(spark, sf_dir, stream="")
-    return R.sweep({str(s): T.backups(trace, s)[0] for s in (0.5, 0.9)}, trace, "basic")
+    top = T.last_block(spark, sf_dir)
+    return R.sweep({str(s): T.backups(trace, s, top)[0] for s in (0.5, 0.9)}, trace, "basic")
+
+
+@query("\nUNION ALL\n".join(
+    f"SELECT *, '{x}' AS aux FROM (WITH RECURSIVE " + _ONE_STREAM.format(share=x) + walk_sql() + _SUMMARY + " FROM (SELECT m_fp = c_fp AS ok FROM walk))" for x in (0.5, 0.9)
+))
+def aux_sweep_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trace = T.doc_trace(spark, sf_dir, stream="")
+    top = T.last_block(spark, sf_dir)
+    return R.sweep({str(s): T.backups(trace, s, top)[0] for s in (0.5, 0.9)}, trace, "locality", u=U, v=V)
 
 
 @query("WITH " + _TRACE + """, per AS (SELECT fp, count(*) AS n, sum(size) AS b, arg_min(size, (stream, seq)) AS f FROM trace GROUP BY 1)
@@ -298,14 +402,44 @@ def container_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_containers(_doc(spark, sf_dir), CONTAINER)
 
 
-@query()
+CHUNK_LEAST, CHUNK_MOST, CHUNK_BITS = 64, 1024, 7
+
+
+def _chunks_sql(marks: str) -> str:
+    """Greedy cuts of each text at the given ends (e: bytes before a cut, b: the bytes), within the bounds."""
+    cut = f"""CASE WHEN n - done >= {CHUNK_LEAST} AND mark < done + {CHUNK_MOST} THEN mark WHEN n - done >= {CHUNK_MOST} THEN done + {CHUNK_MOST} ELSE n END"""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS path, hex(encode(text)) AS h FROM documents WHERE text <> ''),
+bytes AS (SELECT path, h, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM d),
+marked AS MATERIALIZED (SELECT path, len(b) AS n, list_filter({marks}) AS marks FROM bytes),
+cuts AS (
+  SELECT path, n, marks, CAST(-1 AS BIGINT) AS chunk_no, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS done FROM marked
+  UNION ALL
+  SELECT path, n, marks, chunk_no + 1, done, {cut} FROM (SELECT *, list_filter(marks, lambda e: e >= done + {CHUNK_LEAST})[1] AS mark FROM cuts WHERE done < n)
+)
+SELECT path, chunk_no, start AS "offset", done - start AS size, substr(md5(unhex(substr(h, 2 * start + 1, 2 * (done - start)))), 1, 12) AS fp, CAST(10 AS INTEGER) AS cratio
+FROM cuts JOIN d USING (path) WHERE chunk_no >= 0"""
+
+
+_MASK = (1 << CHUNK_BITS) - 1
+_RABIN = " + ".join(f"b[e - {47 - j}] * {pow(RABIN_PRIME, 47 - j, RABIN_MODULUS)}" for j in range(48))
+
+
+@query(_chunks_sql(f"range(48, len(b) + 1), lambda e: (({_RABIN}) % {RABIN_MODULUS}) & {_MASK} = {0x7F & _MASK}"))
 def rabin_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_files(_docs_files(spark, sf_dir), "rabin", VariableParams(bits=7, pattern=0x7F, smallest=64, largest=1024))
+    return chunk_files(_docs_files(spark, sf_dir), "rabin", VariableParams(bits=CHUNK_BITS, pattern=0x7F, smallest=CHUNK_LEAST, largest=CHUNK_MOST))
 
 
-@query()
+@query(_chunks_sql(f"range(1, len(b) + 1), lambda e: b[e] & {_MASK} = {0x61 & _MASK}"))
 def simple_match_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_files(_docs_files(spark, sf_dir), "simple", VariableParams(bits=7, pattern=0x61, smallest=64, largest=1024))
+    return chunk_files(_docs_files(spark, sf_dir), "simple", VariableParams(bits=CHUNK_BITS, pattern=0x61, smallest=CHUNK_LEAST, largest=CHUNK_MOST))
+
+
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS path, hex(encode(text)) AS h FROM documents WHERE text <> '')
+SELECT path, i AS chunk_no, i * 512 AS "offset", length(substr(h, i * 1024 + 1, 1024)) // 2 AS size, sha256(unhex(substr(h, i * 1024 + 1, 1024))) AS fp, CAST(10 AS INTEGER) AS cratio
+FROM (SELECT path, h, unnest(range(0, (length(h) + 1023) // 1024)) AS i FROM d)""")
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_files(_docs_files(spark, sf_dir), "fixed", VariableParams(smallest=512), hashing="sha256")
 
 
 @query()

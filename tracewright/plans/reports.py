@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +14,26 @@ from tracewright.operators.defense import as_stream, combined, ground_truth, min
 from tracewright.operators.inference import basic_summary, locality_inference
 from tracewright.operators.segments import segment
 from tracewright.operators.store import simulate_store
-from tracewright.sources.hashfile import read_header
+from tracewright.sources.hashfile import HEADER_BYTES, read_header
 from tracewright.sources.traces import format_fp
 
 
+_HEADER = "version int, files long, root string, chunks long, chunking string, chunk_size long, algorithm string, window long, prime long, modulus long, bits long, pattern long, smallest long, largest long, hashing string, hash_bits int, sysid string, start_time long, end_time long, bytes long"
+
+
 def header_report(spark: SparkSession, path: str) -> DataFrame:
-    """One row per hash file: every header field."""
-    fields = "snapshot string, version int, files long, root string, chunks long, chunking string, hashing string, hash_bits int, sysid string, start_time long, end_time long, bytes long"
-    names = [x.split()[0] for x in fields.split(", ")]
+    """One row per hash file: every header field. Only the bytes of a header go to Python."""
+    fields = [x.split() for x in _HEADER.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 
-    @F.udf(fields.replace("snapshot string, ", "struct<").replace(" ", ":").replace(",:", ",") + ">")
-    def parse(content):  # noqa: ANN001, ANN202
-        head = read_header(bytes(content))
-        return tuple(head[k] for k in names[1:])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = [read_header(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([h[n] for h in heads], kinds[k]) for n, k in fields)], ["snapshot", *(n for n, _ in fields)])
 
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("snapshot"), parse("content").alias("h")).select("snapshot", "h.*")
+    heads = files.select(F.element_at(F.split("path", "/"), -1).alias("snapshot"), F.substring("content", 1, HEADER_BYTES).alias("head"))
+    return heads.mapInArrow(run, f"snapshot string, {_HEADER}")
 
 
 def file_report(files: DataFrame) -> DataFrame:
