@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from tracewright.plans.catalog import QUERIES
+from tracewright.plans.registered import QUERIES
 
 HEADLINE = ["freq_count", "left_neighbors", "freq_rank", "basic_attack_summary", "segments", "combined_encrypt", "dedup_stats", "dedup_update_access", "container_pack", "file_xor_hash", "word_frequencies"]
 

@@ -1,8 +1,10 @@
 """Golden micro-traces, sequential models and round trips of the trace engine."""
 
+import os
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tracewright.operators import defense as D
 from tracewright.operators import inference as I
 from tracewright.operators import store as S
 from tracewright.operators.segments import pack_containers, segment
+from tracewright.plans import reports as R
 from tracewright.sources import hashfile as X
 from tracewright.sources import traces as T
 from tracewright.sources.kvstore import KeyValueTable
@@ -238,6 +241,11 @@ def test_key_value_table(spark, tmp_path):
     assert {tuple(r) for r in kv.scan(at_version=1).collect()} == {("a", 1), ("b", 2), ("c", 3)}
     assert [tuple(r) for r in kv.scan("b", "z").collect()] == [("b", 20)]
     assert kv.get(d([("c", 0), ("a", 0)])).count() == 1
+    assert [tuple(r) for r in kv.iterate("a", 5).collect()] == [(1, "a", 1), (2, "b", 20)]
+    assert [tuple(r) for r in kv.iterate("c", 1, back=True).collect()] == [(1, "b", 20)]
+    found = kv.properties()
+    assert (found["versions"], found["rows"], found["keys"]) == (2, 5, 2) and found["files"] >= 2
+    assert 0 < kv.approximate_size("a", "b") < kv.approximate_size() == found["bytes"]
     assert kv.compact(str(tmp_path / "kv2")).scan().count() == 2 and kv.approximate_size() > 0
 
 
@@ -255,7 +263,123 @@ def test_streaming_segments_equal_batch(spark, tmp_path):
     assert got == [x.seg_id for x in segment(t, 100, 300).orderBy("seq").collect()]
 
 
+def test_store_resumes_where_it_was_saved(spark):
+    r = random.Random(8)
+    streams = {f"d{k}": [(fp(r.randrange(60)), r.randrange(10, 30)) for _ in range(150)] for k in range(4)}
+    sizes = {"lru_entries": 7, "bloom_entries": 5000, "error": 0.001, "container_bytes": 120}
+    whole = {tuple(x) for x in S.simulate_store(trace(spark, streams), *sizes.values()).collect()}
+    got, state = set(), None
+    for names in (["d0"], ["d1", "d2"], [], ["d3"]):
+        t = trace(spark, {k: streams[k] for k in names}) if names else spark.createDataFrame([], KIND)
+        counts, state = S.run_store(t, state, **sizes)
+        got |= {tuple(x) for x in counts.collect()}
+    assert got == whole and {x.part for x in state.select("part").distinct().collect()} == {"lru", "container", "open", "bloom"}
+
+
+def test_bloom_joins_the_filters_of_tasks(spark):
+    keys = [fp(i) for i in range(500)]
+    bloom = S.build_bloom(spark.createDataFrame([(k,) for k in keys], "fp string").repartition(3), 2000, 0.01)
+    one = S.Bloom(2000, 0.01)
+    for k in keys:
+        one.add(bytes.fromhex(k))
+    assert (bloom.data == one.data).all() and all(bloom.has(bytes.fromhex(k)) for k in keys)
+    assert sum(bloom.has(bytes.fromhex(fp(10_000 + i))) for i in range(1000)) < 20
+    assert 0 < bloom.describe()["set_share"] < 0.5 and bloom.describe()["hashes"] == 7
+
+
+def test_hashes_of_batches_equal_those_of_rows():
+    r = random.Random(3)
+    data = pd.Series([None, b"", *(r.randbytes(r.randrange(0, 70)) for _ in range(90)), r.randbytes(5000)])
+    rows = [b"" if x is None else x for x in data]
+    assert H.murmur2_batch(data, 77) == [H.murmur2_32(x, 77) for x in rows]
+    assert H.murmur3_batch(data) == [H.murmur3_x64_128(x) for x in rows]
+    assert H.crc32c_batch(data) == [H.crc32c_value(x) for x in rows]
+    # published values
+    assert H.crc32c_value(b"123456789") == 0xE3069283 and H.crc32c_value(bytes(32)) == 0x8A9136AA
+    assert H.murmur3_x64_128(b"", 0) == bytes(16)
+    assert H.murmur2_32(b"", 0) == 0 and H.murmur2_32(b"", 1) == 0x5BD15E36
+    assert H.pwrmod(1048583, 47, 1 << 30) == pow(1048583, 47) % (1 << 30)
+
+
+@pytest.mark.parametrize("method", ["random", "simple"])
+def test_chunks_keep_their_bounds(method):
+    p = K.VariableParams(bits=5, pattern=0x0A, smallest=40, largest=200)
+    data = random.Random(2).randbytes(30_000)
+    cuts = K.random_chunks(data, p, "a") if method == "random" else K.simple_chunks(data, p)
+    assert [a for a, _ in cuts] == [0, *(a + n for a, n in cuts[:-1])] and sum(n for _, n in cuts) == len(data)
+    assert all(40 <= n <= 200 for _, n in cuts[:-1])
+    if method == "random":
+        assert cuts != K.random_chunks(data, p, "b") and cuts == K.random_chunks(data, p, "a")
+        assert 60 < sum(n for _, n in cuts) / len(cuts) < 85  # 40 and about 32 more
+        return
+    at = 0
+    while at < len(data):  # byte by byte
+        n = next((n for n in range(40, 200) if at + n <= len(data) and data[at + n - 1] & 31 == 0x0A), 200)
+        assert (at, min(n, len(data) - at)) == cuts.pop(0)
+        at += n
+
+
+def test_directory_scan(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.txt").write_bytes(b"x" * 5000)
+    (tmp_path / "y.txt").write_bytes(b"y" * 10)
+    (tmp_path / "a" / "link").symlink_to(tmp_path / "y.txt")
+    os.mkfifo(tmp_path / "a" / "pipe")
+    got = {(r.path.removeprefix(str(tmp_path)), r.kind, r.target) for r in K.scan_entries(spark, str(tmp_path), same_device=True).collect()}
+    assert got == {("/a/b/x.txt", "file", None), ("/y.txt", "file", None), ("/a/link", "link", str(tmp_path / "y.txt"))}
+    (tmp_path / "a" / "pipe").unlink()
+    chunks = K.scan_directory(spark, str(tmp_path), method="fixed", params=K.VariableParams(smallest=4096))
+    assert sorted((r.path.rsplit("/", 1)[1], r.size) for r in chunks.collect()) == [("x.txt", 904), ("x.txt", 4096), ("y.txt", 10)]
+    totals = R.scan_totals(K.scan_entries(spark, str(tmp_path)), chunks).first()
+    assert tuple(totals) == (2, 1, 5010, 3)
+
+
+@pytest.mark.parametrize("version", range(1, 8))
+def test_hash_files_of_every_version(spark, tmp_path, version):
+    files = spark.createDataFrame([("s", 0, "/a", 90, 7), ("s", 1, "/b", 5, 8), ("t", 0, "/c", 1, 9)], "snapshot string, file_no long, path string, file_size long, uid long")
+    chunks = spark.createDataFrame([("s", 0, 0, 60, fp(1), 12), ("s", 0, 1, 30, fp(2), 11), ("t", 0, 0, 1, fp(3), 10)], "snapshot string, file_no long, chunk_no long, size long, fp string, cratio short")
+    rabin = {"algorithm": "rabin", "window": 48, "prime": 3, "modulus": 8, "bits": 13, "pattern": 5, "smallest": 1, "largest": 9}
+    out = X.write_hashfiles(files, chunks, f"file://{tmp_path}/h", version, params=rabin, root="/r", hashing="md5-48bit").collect()
+    assert sorted(x.snapshot for x in out) == ["s", "t"]
+    got = {(r.snapshot, r.path, r.chunk_no, r.size, r.fp, r.cratio) for r in X.read_hashfile(spark, f"{tmp_path}/h/*.hash").collect()}
+    want = {("s.hash", "/a", 0, 60, fp(1), 12), ("s.hash", "/a", 1, 30, fp(2), 11), ("t.hash", "/c", 0, 1, fp(3), 10)}
+    assert got == {(s, p, k, n if version > 2 else 0, f, c if version > 5 else 0) for s, p, k, n, f, c in want}
+    entries = {(r.snapshot, r.path, r.file_size, r.chunks, r.uid) for r in X.read_hashfile(spark, f"{tmp_path}/h/*.hash", "files").collect()}
+    assert entries == {("s.hash", "/a", 90, 2, 7 if version > 3 else None), ("s.hash", "/b", 5, 0, 8 if version > 3 else None), ("t.hash", "/c", 1, 1, 9 if version > 3 else None)}
+    head = X.read_header((tmp_path / "h" / "s.hash").read_bytes())
+    assert {k: head[k] for k in rabin} == rabin and (head["files"], head["chunks"], head["root"]) == (2, 2, "/r")
+    spark.dataSource.register(X.HashFileSource)
+    assert spark.read.format("hashfile").option("part", "files").load(f"{tmp_path}/h/*.hash").count() == 3
+
+
+def test_paths_come_back_by_known_ones(spark):
+    d = spark.createDataFrame([("/a/b.txt",), ("/c",)], "path string")
+    files, chunks = H.anonymize_tables(d.withColumn("target_path", F.lit("/t.gz")), d.withColumn("fp", F.lit(fp(1))), "k")
+    assert not {r.path for r in files.collect()} & {"/a/b.txt", "/c"} and all(r.target_path.endswith(".gz") for r in files.collect())
+    assert {len(r.fp) for r in chunks.collect()} == {12}
+    back = {r.original for r in H.reveal_paths(files, d, "k").collect()}
+    assert back == {"/a/b.txt", "/c"} and {r.original for r in H.reveal_paths(files, d, "other").collect()} == {None}
+
+
+def test_last_inferred_first(spark):
+    t = trace(spark, {"u": [(fp(i % 5), 1) for i in range(20)]})
+    pairs = I.locality_inference(t, t, u=1, v=2)[0]
+    assert [r.pos for r in I.last_first(pairs).collect()] == sorted((r.pos for r in pairs.collect()), reverse=True)
+
+
+def test_text_traces_keep_their_order(spark, tmp_path):
+    t = trace(spark, {s: [(fp(i, "ab"), 100 + i) for i in range(40)] for s in ("u", "v w")})
+    T.write_text_trace(t, str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # many splits a file
+    try:
+        rows = T.read_text_trace(spark, str(tmp_path / "t")).orderBy("stream", "seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.stream, r.size) for r in rows] == [(s, 100 + i) for s in ("u", "v w") for i in range(40)]
+
+
 def test_registered_queries_have_no_clash():
-    from tracewright.plans import catalog
+    from tracewright.plans import registered as catalog
 
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 35

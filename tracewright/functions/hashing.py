@@ -5,8 +5,9 @@ from __future__ import annotations
 import hmac
 import zlib
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType
 
@@ -15,31 +16,35 @@ MURMUR3_SEED = 0xABCDEF
 BLOOM_SEED = 0x9747B28C
 
 
-def murmur3_x64_128(data: bytes, seed: int = MURMUR3_SEED) -> bytes:
-    """The public 128-bit Murmur3 for 64-bit machines: both halves little-endian."""
-    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
-    rot = lambda x, r: ((x << r) | (x >> (64 - r))) & _M64
+_C1, _C2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+
+
+def _rotated(x: int, r: int) -> int:
+    return ((x << r) | (x >> (64 - r))) & _M64
+
+
+def _murmur3_rest(h1: int, h2: int, data: bytes, length: int) -> bytes:
+    """From the state after some 16-byte lanes: the lanes and bytes that are left, and the end."""
 
     def fin(k: int) -> int:
         k = ((k ^ (k >> 33)) * 0xFF51AFD7ED558CCD) & _M64
         k = ((k ^ (k >> 33)) * 0xC4CEB9FE1A85EC53) & _M64
         return k ^ (k >> 33)
 
-    h1 = h2 = seed
     whole = len(data) // 16 * 16
     for at in range(0, whole, 16):
         k1 = int.from_bytes(data[at : at + 8], "little")
         k2 = int.from_bytes(data[at + 8 : at + 16], "little")
-        h1 ^= rot(k1 * c1 & _M64, 31) * c2 & _M64
-        h1 = ((rot(h1, 27) + h2) * 5 + 0x52DCE729) & _M64
-        h2 ^= rot(k2 * c2 & _M64, 33) * c1 & _M64
-        h2 = ((rot(h2, 31) + h1) * 5 + 0x38495AB5) & _M64
+        h1 ^= _rotated(k1 * _C1 & _M64, 31) * _C2 & _M64
+        h1 = ((_rotated(h1, 27) + h2) * 5 + 0x52DCE729) & _M64
+        h2 ^= _rotated(k2 * _C2 & _M64, 33) * _C1 & _M64
+        h2 = ((_rotated(h2, 31) + h1) * 5 + 0x38495AB5) & _M64
     tail = data[whole:]
     if len(tail) > 8:
-        h2 ^= rot(int.from_bytes(tail[8:], "little") * c2 & _M64, 33) * c1 & _M64
+        h2 ^= _rotated(int.from_bytes(tail[8:], "little") * _C2 & _M64, 33) * _C1 & _M64
     if tail:
-        h1 ^= rot(int.from_bytes(tail[:8], "little") * c1 & _M64, 31) * c2 & _M64
-    h1, h2 = h1 ^ len(data), h2 ^ len(data)
+        h1 ^= _rotated(int.from_bytes(tail[:8], "little") * _C1 & _M64, 31) * _C2 & _M64
+    h1, h2 = h1 ^ length, h2 ^ length
     h1 = (h1 + h2) & _M64
     h2 = (h2 + h1) & _M64
     h1, h2 = fin(h1), fin(h2)
@@ -47,10 +52,13 @@ def murmur3_x64_128(data: bytes, seed: int = MURMUR3_SEED) -> bytes:
     return h1.to_bytes(8, "little") + ((h2 + h1) & _M64).to_bytes(8, "little")
 
 
-def murmur2_32(data: bytes, seed: int) -> int:
-    """The public 32-bit Murmur2."""
+def murmur3_x64_128(data: bytes, seed: int = MURMUR3_SEED) -> bytes:
+    """The public 128-bit Murmur3 for 64-bit machines: both halves little-endian."""
+    return _murmur3_rest(seed, seed, data, len(data))
+
+
+def _murmur2_rest(h: int, data: bytes) -> int:
     m, mask = 0x5BD1E995, 0xFFFFFFFF
-    h = (seed ^ len(data)) & mask
     whole = len(data) // 4 * 4
     for at in range(0, whole, 4):
         k = int.from_bytes(data[at : at + 4], "little") * m & mask
@@ -61,6 +69,16 @@ def murmur2_32(data: bytes, seed: int) -> int:
     return h ^ (h >> 15)
 
 
+def murmur2_32(data: bytes, seed: int) -> int:
+    """The public 32-bit Murmur2."""
+    return _murmur2_rest((seed ^ len(data)) & 0xFFFFFFFF, data)
+
+
+def pwrmod(a: int, p: int, m: int) -> int:
+    """a to the power p modulo m."""
+    return pow(a, p, m)
+
+
 def _crc_table() -> list[int]:
     out = []
     for n in range(256):
@@ -86,19 +104,91 @@ def compression_ratio(data: bytes) -> int:
     return min(255, len(data) * 10 // len(zlib.compress(data, 6))) if data else 0
 
 
+#: Rows that are still going on, below which a lane of the batch is left to the one-row form.
+_LEAST_LANES = 24
+
+
+class _Batch:
+    """Byte strings of a batch, longest first, for hashing them side by side: lane t of all rows that have one."""
+
+    def __init__(self, data: pd.Series, width: int):
+        rows = [b"" if b is None else bytes(b) for b in data]
+        self.rows, self.width = rows, width
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.order = np.argsort(-self.size, kind="stable")
+        self.sorted = self.size[self.order]
+        joined = b"".join(rows) + b"\0" * width
+        self.data = np.frombuffer(joined, np.uint8)
+        self.start = (np.cumsum(self.size) - self.size)[self.order]
+        lanes = self.sorted // width
+        #: lanes that at least _LEAST_LANES rows have
+        self.common = int(lanes[_LEAST_LANES - 1]) if len(lanes) >= _LEAST_LANES else 0
+
+    def lanes(self):  # noqa: ANN201
+        """(rows, bytes as unsigned numbers of 4 or 8 bytes) of each common lane."""
+        within = np.arange(self.width)
+        kind = {1: np.uint8, 4: "<u4"}.get(self.width, "<u8")
+        for t in range(self.common):
+            k = int(np.searchsorted(-self.sorted, -(t + 1) * self.width, "right"))
+            yield k, self.data[self.start[:k, None] + t * self.width + within].view(kind)
+
+    def finish(self, f) -> list:  # noqa: ANN001
+        """f(row number in order, its bytes behind the lanes that it took part in) for each row, in the batch's order."""
+        out = [None] * len(self.rows)
+        for i, row in enumerate(self.order.tolist()):
+            out[row] = f(i, self.rows[row][min(self.common, len(self.rows[row]) // self.width) * self.width :])
+        return out
+
+
+def murmur2_batch(data: pd.Series, seed: int) -> list[int]:
+    b = _Batch(data, 4)
+    m = np.uint32(0x5BD1E995)
+    h = np.uint32(seed) ^ b.sorted.astype(np.uint32)
+    for n, lane in b.lanes():
+        k = lane[:, 0] * m
+        h[:n] = (h[:n] * m) ^ ((k ^ (k >> np.uint32(24))) * m)
+    return b.finish(lambda i, rest: _murmur2_rest(int(h[i]), rest))
+
+
+def murmur3_batch(data: pd.Series, seed: int = MURMUR3_SEED) -> list[bytes]:
+    b = _Batch(data, 16)
+    u = np.uint64
+    rot = lambda x, r: (x << u(r)) | (x >> u(64 - r))
+    c1, c2 = u(_C1), u(_C2)
+    h1 = np.full(len(b.rows), seed, u)
+    h2 = h1.copy()
+    for n, lane in b.lanes():
+        h1[:n] = (rot(h1[:n] ^ (rot(lane[:, 0] * c1, 31) * c2), 27) + h2[:n]) * u(5) + u(0x52DCE729)
+        h2[:n] = (rot(h2[:n] ^ (rot(lane[:, 1] * c2, 33) * c1), 31) + h1[:n]) * u(5) + u(0x38495AB5)
+    return b.finish(lambda i, rest: _murmur3_rest(int(h1[i]), int(h2[i]), rest, int(b.sorted[i])))
+
+
+def crc32c_batch(data: pd.Series) -> list[int]:
+    b = _Batch(data, 1)
+    table = np.array(_CRC32C, np.uint32)
+    crc = np.full(len(b.rows), 0xFFFFFFFF, np.uint32)
+    for n, lane in b.lanes():
+        crc[:n] = (crc[:n] >> np.uint32(8)) ^ table[(crc[:n] ^ lane[:, 0]) & np.uint32(255)]
+    return b.finish(lambda i, rest: crc32c_value(rest, int(crc[i]) ^ 0xFFFFFFFF))
+
+
+def _known(data: pd.Series, found: list, kind: str) -> pd.Series:
+    return pd.Series(found, dtype=kind).where(data.notna().to_numpy(), None)
+
+
 @F.pandas_udf(StringType())
 def murmur3(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else murmur3_x64_128(bytes(b)).hex())
+    return _known(data, [x.hex() for x in murmur3_batch(data)], "object")
 
 
 @F.pandas_udf(LongType())
 def murmur2(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else murmur2_32(bytes(b), BLOOM_SEED)).astype("Int64")
+    return _known(data, murmur2_batch(data, BLOOM_SEED), "Int64")
 
 
 @F.pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else crc32c_value(bytes(b))).astype("Int64")
+    return _known(data, crc32c_batch(data), "Int64")
 
 
 @F.pandas_udf(IntegerType())
@@ -172,6 +262,23 @@ def anonymize_path(key: str):  # noqa: ANN201
     return lambda path: run(path, file_type(path))
 
 
+def reveal_paths(anonymous: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """anonymous with `original`: the known path (column path) of that pseudonym under the key, null where none is known.
+
+    Pseudonyms are one-way, so paths come back by making those of the known ones and joining.
+    """
+    made = known.select(F.col("path").alias("original")).distinct().withColumn("path", anonymize_path(key)(F.col("original")))
+    return anonymous.join(made, "path", "left")
+
+
+def anonymize_tables(files: DataFrame, chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and chunks of hash files with pseudonyms for paths, link targets and fingerprints; all other fields stay."""
+    hide = anonymize_path(key)
+    files = files.withColumns({c: hide(F.col(c)) for c in ("path", "target_path") if c in files.columns})
+    chunks = chunks.withColumn("fp", anonymize_fp(F.col("fp"), key))
+    return files, chunks.withColumn("path", hide(F.col("path"))) if "path" in chunks.columns else chunks
+
+
 def anonymize_fp(fp: Column, key: str) -> Column:
     """Keyed one-way pseudonym of a fingerprint, of the same length."""
     return F.substring(F.md5(F.concat(F.lit(key.encode()), F.unhex(fp))), F.lit(1), F.length(fp))

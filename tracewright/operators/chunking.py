@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import os
 import random
+import stat
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -98,13 +102,17 @@ def simple_chunks(data: bytes, p: VariableParams = VariableParams()) -> list[tup
     return _cut(data, p, simple_marks(data, p), -(-p.bits // 8), p.largest)
 
 
-def random_chunks(data: bytes, p: VariableParams = VariableParams()) -> list[tuple[int, int]]:
-    """Each place from `smallest` on is a cut with probability 2^-bits; repeatable for equal seed and length."""
-    draw = random.Random(f"{p.seed}-{len(data)}")
+def random_chunks(data: bytes, p: VariableParams = VariableParams(), path: str | None = None) -> list[tuple[int, int]]:
+    """Each place from `smallest` on is a cut with probability 2^-bits; repeatable for equal seed, path and length.
+
+    How far the next cut is comes from one draw of the geometric distribution.
+    """
+    draw = random.Random(f"{p.seed}-{path}-{len(data)}")
+    chance = 1 / (p.mask + 1)
     out, at = [], 0
     while len(data) - at >= p.smallest:
-        end = next((i for i in range(p.smallest, min(len(data) - at + 1, p.largest)) if draw.random() * (p.mask + 1) < 1), None)
-        if end is None:
+        end = p.smallest + (int(math.log(1 - draw.random()) / math.log1p(-chance)) if chance < 1 else 0)
+        if end >= min(len(data) - at + 1, p.largest):
             if len(data) - at < p.largest:
                 break
             end = p.largest
@@ -133,7 +141,7 @@ def chunk_files(files: DataFrame, method: str = "rabin", params: VariableParams
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                cuts = CHUNKERS[method](data or b"", params)
+                cuts = random_chunks(data or b"", params, path) if method == "random" else CHUNKERS[method](data or b"", params)
                 for a in range(0, len(cuts), 4096):
                     part = cuts[a : a + 4096]
                     yield pa.RecordBatch.from_arrays(
@@ -145,9 +153,63 @@ def chunk_files(files: DataFrame, method: str = "rabin", params: VariableParams
     return cut.select("path", "chunk_no", "offset", "size", hash_column(F.col("data"), hashing).alias("fp"), ratio_column(F.col("data"), ratio).alias("cratio"))
 
 
+def list_entries(root: str, same_device: bool = False) -> Iterator[tuple[str, str, str | None, int]]:
+    """(path, kind, target, size) of what is below a local folder: file, link (with its target), device; folders are walked.
+
+    Links are not followed; sockets and pipes are left out; same_device stays on the root's file system.
+    """
+    here = os.lstat(root).st_dev
+    todo = [root]
+    while todo:
+        with os.scandir(todo.pop()) as found:
+            for e in sorted(found, key=lambda e: e.name):
+                info = e.stat(follow_symlinks=False)
+                if same_device and info.st_dev != here:
+                    continue
+                if stat.S_ISDIR(info.st_mode):
+                    todo.append(e.path)
+                elif stat.S_ISLNK(info.st_mode):
+                    yield e.path, "link", os.readlink(e.path), info.st_size
+                elif stat.S_ISREG(info.st_mode):
+                    yield e.path, "file", None, info.st_size
+                elif stat.S_ISBLK(info.st_mode):
+                    yield e.path, "device", None, info.st_size
+
+
+def scan_entries(spark: SparkSession, root: str, same_device: bool = False) -> DataFrame:
+    """Entries of a folder that every executor sees; each folder directly below it is walked by a task of its own."""
+    top = [e.path for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and not (same_device and e.stat().st_dev != os.lstat(root).st_dev)]
+    fields = "path string, kind string, target string, size long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = list_entries(folder, same_device)
+                while piece := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*piece), (pa.string(), pa.string(), pa.string(), pa.int64()))], ["path", "kind", "target", "size"])
+
+    own = spark.createDataFrame([x for x in list_entries_flat(root)], fields)
+    below = spark.createDataFrame([(x,) for x in top], "folder string").repartition(max(1, len(top))).mapInArrow(run, fields)
+    return own.unionByName(below)
+
+
+def list_entries_flat(root: str) -> Iterator[tuple[str, str, str | None, int]]:
+    """Files and links directly in a folder."""
+    with os.scandir(root) as found:
+        for e in sorted(found, key=lambda e: e.name):
+            info = e.stat(follow_symlinks=False)
+            if stat.S_ISLNK(info.st_mode):
+                yield e.path, "link", os.readlink(e.path), info.st_size
+            elif stat.S_ISREG(info.st_mode):
+                yield e.path, "file", None, info.st_size
+
+
 def scan_directory(spark: SparkSession, root: str, **how) -> DataFrame:  # noqa: ANN003
-    """Chunks of every regular file below root."""
+    """Chunks of every regular file below root; links, devices and pipes have none (scan_entries lists them)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if "://" not in root or root.startswith("file://"):  # Spark's reader follows links
+        kinds = scan_entries(spark, root.removeprefix("file://")).where("kind = 'file'").select(F.concat(F.lit("file:"), "path").alias("path"))
+        files = files.join(kinds, "path", "left_semi")
     return chunk_files(files, **how)
 
 

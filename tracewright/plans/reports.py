@@ -48,6 +48,23 @@ def totals_report(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.sum("chunks").alias("chunks"))
 
 
+def scan_totals(entries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: files and links of a scan (kind), bytes and chunks of what was chunked."""
+    kinds = entries.agg(F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "link").alias("links"))
+    sizes = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("chunks"))
+    return kinds.crossJoin(sizes)  # one row on either side
+
+
+def latency_summary(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Count, bounds, mean, standard deviation and percentiles of a measured value."""
+    show = lambda c, name: F.round(c, 6).alias(name)
+    quantile = lambda q: F.percentile(value, F.lit(q))
+    return rows.groupBy(*by).agg(
+        F.count(value).alias("n"), show(F.min(value), "least"), show(F.max(value), "most"), show(F.avg(value), "mean"), show(F.stddev_pop(value), "deviation"),
+        show(quantile(0.5), "median"), show(quantile(0.95), "p95"), show(quantile(0.99), "p99"),
+    )
+
+
 def evaluate_defense(aux: DataFrame, target: DataFrame, scheme: str = "combined", seg_min: int = 1 << 20, seg_max: int = 4 << 20, **how) -> DataFrame:  # noqa: ANN003
     """Summary of locality-based inference against a transformed target (plain, minhash, scramble or combined); the auxiliary
     stream stays as it is."""
