@@ -13,7 +13,7 @@ from tracewright.operators import defense as D
 from tracewright.operators import store as S
 from tracewright.operators.lineage import scratch_path
 from tracewright.plans import reports as R
-from tracewright.plans.catalog import CONTAINER, SEG_MAX, SEG_MIN, _MINHASH, _TRACE, _doc, _segments, query
+from tracewright.plans.catalog import CONTAINER, SEG_MAX, SEG_MIN, _MINHASH, _SCRAMBLE, _TRACE, _doc, _segments, query
 from tracewright.sources import traces as T
 from tracewright.sources.hashfile import VERSIONS, read_hashfile, write_hashfiles
 from tracewright.sources.kvstore import KeyValueTable
@@ -205,6 +205,56 @@ def resumed_update_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out).where("update_access > 0").select("snapshot", "update_access")
 
 
+_EVENTS = "SELECT strftime(ts, '%Y-%m-%d') AS stream, event_id AS seq, substr(md5(event_type || '-' || user_id), 1, 12) AS fp, 4096 + event_id % 4096 AS size FROM events"
+LRU = 64
+
+
+# Which chunks are new, and so every container, does not depend on the cache; the walk carries the cache alone: what a list of
+# accesses leaves are the last LRU different ones.
+@query(f"""WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY stream, seq) AS n FROM ({_EVENTS})),
+u AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY n) AS k FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY fp ORDER BY n) = 1)),
+fold AS (SELECT stream, k, n, fp, size AS open, 0 AS box FROM u WHERE k = 1
+  UNION ALL SELECT u.stream, u.k, u.n, u.fp, CASE WHEN f.open + u.size > {CONTAINER} THEN u.size ELSE f.open + u.size END, f.box + CASE WHEN f.open + u.size > {CONTAINER} THEN 1 ELSE 0 END
+  FROM fold f JOIN u ON u.stream = f.stream AND u.k = f.k + 1),
+boxes AS MATERIALIZED (SELECT stream, box, list(fp ORDER BY n) AS members, list(n ORDER BY n) AS born FROM fold GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT n.n, n.stream, n.fp, f.n AS first_n, b.members[1:len(list_filter(b.born, lambda x: x <= n.n))] AS loaded, coalesce(n.stream <> lag(n.stream) OVER (ORDER BY n.n), false) AS turn
+  FROM n JOIN fold f USING (fp) JOIN boxes b ON b.stream = f.stream AND b.box = f.box),
+run AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS lru, CAST(NULL AS VARCHAR) AS stream, 0 AS asked, 0 AS added, 0 AS loaded
+  UNION ALL
+  SELECT n, CASE WHEN hit THEN list_filter(lru, lambda x: x <> fp) || [fp] WHEN n = first_n THEN lru ELSE (list_filter(lru, lambda x: NOT list_contains(members, x)) || members)[-{LRU}:] END,
+         stream, CASE WHEN hit OR n = first_n THEN 0 ELSE 1 END, CASE WHEN NOT hit AND n = first_n THEN 1 ELSE 0 END, CASE WHEN hit OR n = first_n THEN 0 ELSE len(members) END
+  FROM (SELECT e.n, e.stream, e.fp, e.first_n, e.loaded AS members, CASE WHEN e.turn THEN list_reverse(r.lru) ELSE r.lru END AS lru, list_contains(r.lru, e.fp) AS hit FROM run r JOIN e ON e.n = r.n + 1))
+SELECT stream AS snapshot, CAST(sum(asked) AS BIGINT) AS index_access, CAST(sum(added) AS BIGINT) AS update_access, CAST(sum(loaded) AS BIGINT) AS loading_access FROM run WHERE n > 0 GROUP BY 1""")
+def store_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache, filter, index and containers over the days of events: every counter."""
+    return S.simulate_store(T.event_trace(spark, sf_dir), lru_entries=LRU, bloom_entries=1_000_000, error=1e-6, container_bytes=CONTAINER)
+
+
+@query("WITH RECURSIVE " + _SCRAMBLE + """,
+low AS (SELECT stream, seg_id, min(fp) AS key_fp FROM segs GROUP BY 1, 2),
+made AS (SELECT 'combined' AS scheme, stream, substr(md5(unhex(fp || key_fp)), 1, 12) AS fp FROM mixed JOIN low USING (stream, seg_id) UNION ALL SELECT 'plain', stream, fp FROM base),
+first AS (SELECT scheme, fp, min(stream) AS snapshot FROM made GROUP BY 1, 2)
+SELECT scheme, snapshot, count(*) AS update_access FROM first GROUP BY 1, 2""")
+def store_by_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store under the plain and the combined stream: unique inserts of each snapshot."""
+    found = R.store_by_scheme(_doc(spark, sf_dir), SEG_MIN, SEG_MAX, lru_entries=4096, bloom_entries=1_000_000, container_bytes=CONTAINER)
+    return found.where("update_access > 0").select("scheme", "snapshot", "update_access")
+
+
+_DAYS = f"""WITH t AS ({_EVENTS.replace("SELECT strftime", "SELECT event_type AS who, strftime")}), days AS (SELECT who, max(stream) AS last FROM t GROUP BY 1),
+f AS (SELECT who, stream, fp, count(*) AS cnt FROM t GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY who, stream ORDER BY cnt DESC, fp) AS rank FROM f),
+pairs AS (SELECT a.who, a.stream AS aux, a.fp = b.fp AS ok FROM r a JOIN days d USING (who) JOIN r b ON b.who = a.who AND b.stream = d.last AND b.rank = a.rank WHERE a.stream < d.last),
+n AS (SELECT who, count(*) AS unique_chunks FROM r JOIN days USING (who) WHERE stream = last GROUP BY 1)"""
+
+
+@query(_DAYS + " SELECT who, aux, unique_chunks, count(*) FILTER (ok) AS correct, round(100.0 * count(*) FILTER (ok) / unique_chunks, 6)::DOUBLE AS rate FROM pairs JOIN n USING (who) GROUP BY 1, 2, 3")
+def snapshot_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's snapshots against the last one: users are event types, snapshots their days."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), F.col("event_type").alias("who"))
+    return R.snapshot_matrix(T.event_trace(spark, sf_dir).join(events, "seq"), "who", "stream")
+
+
 @query("WITH " + _TRACE + """, aux AS (SELECT DISTINCT fp FROM trace WHERE block < 0.5 * ((SELECT max(block) FROM trace) + 1))
 SELECT (SELECT count(*) FROM aux) AS members, CAST(0 AS BIGINT) AS missed, true AS within""")
 def bloom_check(spark: SparkSession, sf_dir: str) -> DataFrame:

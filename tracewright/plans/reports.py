@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.hashing import size_text
@@ -84,6 +84,23 @@ def sweep(aux: dict[str, DataFrame], target: DataFrame, attack: str = "locality"
     return reduce(DataFrame.unionByName, [one(a).withColumn("aux", F.lit(k)) for k, a in aux.items() if a is not None])
 
 
+def snapshot_matrix(chunks: DataFrame, user: str, snapshot: str) -> DataFrame:
+    """Basic frequency analysis of each user's last snapshot by each of the ones before: (user, aux, unique_chunks, correct, rate).
+
+    All cells at once: ranks are windows within (user, snapshot), and equal ranks are joined. A user with one snapshot has
+    no cell; snapshots that are not there leave none.
+    """
+    f = chunks.groupBy(user, snapshot, "fp").agg(F.count("*").alias("cnt"))
+    ranked = f.withColumn("rank", F.row_number().over(Window.partitionBy(user, snapshot).orderBy(F.desc("cnt"), "fp")))
+    last = f.groupBy(user).agg(F.max(snapshot).alias("last"))
+    ranked = ranked.join(last, user)
+    target = ranked.where(F.col(snapshot) == F.col("last")).select(user, "rank", F.col("fp").alias("c_fp"))
+    unique = target.groupBy(user).agg(F.count("*").alias("unique_chunks"))
+    pairs = ranked.where(F.col(snapshot) < F.col("last")).join(target, [user, "rank"])
+    cells = pairs.groupBy(user, F.col(snapshot).alias("aux")).agg(F.count_if(F.col("fp") == F.col("c_fp")).alias("correct")).join(unique, user)
+    return cells.select(user, "aux", "unique_chunks", "correct", F.round(F.lit(100.0) * F.col("correct") / F.col("unique_chunks"), 6).alias("rate"))
+
+
 def store_by_scheme(target: DataFrame, seg_min: int, seg_max: int, **how) -> DataFrame:  # noqa: ANN003
     """Store accesses of the plain stream and of the combined scheme."""
     made = as_stream(combined(segment(target, seg_min, seg_max)), "c_fp", "new_seq")
