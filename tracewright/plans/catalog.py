@@ -452,12 +452,6 @@ def fixed_chunks_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_files(_docs_files(spark, sf_dir), "fixed", VariableParams(smallest=512), hashing="sha256", ratio="zlib")
 
 
-@query()
-def murmur_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _docs_files(spark, sf_dir)
-    return files.select("path", H.murmur3("content").alias("murmur3"), H.murmur2("content").alias("murmur2"), H.crc32c("content").alias("crc32c"))
-
-
 @query("SELECT page_id, md5(html) AS md5, sha1(html) AS sha1, sha256(html) AS sha256, substr(md5(html), 1, 12) AS md5_48, substr(md5(html), 1, 16) AS md5_64 FROM pages")
 def builtin_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")

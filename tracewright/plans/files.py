@@ -131,7 +131,11 @@ def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("page_id", "path", H.file_type(F.col("path")).alias("type"))
 
 
-@query(f"""WITH d AS (SELECT doc_id::VARCHAR AS path, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents WHERE text IS NOT NULL),
+_2_64 = f"{1 << 64}::UHUGEINT"
+_BYTES = "d AS MATERIALIZED (SELECT doc_id::VARCHAR AS path, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH {_BYTES},
 w AS (SELECT path, b, len(b) AS n, list_transform(range(0, len(b) // 4), lambda i: (b[4*i+1] + b[4*i+2] * 256 + b[4*i+3] * 65536 + b[4*i+4] * 16777216) * 1540483477 % 4294967296) AS k FROM d),
 h AS (SELECT path, b, n, list_reduce(list_prepend(xor(n, {H.BLOOM_SEED}), list_transform(k, lambda x: xor(x, x >> 24) * 1540483477 % 4294967296)), lambda a, x: xor(a * 1540483477 % 4294967296, x)) AS h FROM w),
 t AS (SELECT path, b, n, CASE WHEN n % 4 = 0 THEN h ELSE xor(h, list_reduce(list_prepend(0::BIGINT, list_reverse(b[n - n % 4 + 1:])), lambda a, x: a * 256 + x)) * 1540483477 % 4294967296 END AS h FROM h),
@@ -143,6 +147,45 @@ def byte_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("path"), H.murmur2(content).alias("murmur2"), H.crc32c(content).alias("crc32c"))
 
 
+def _turn(x: str, r: int) -> str:
+    """Rotation to the left of 64 bits."""
+    return f"(({x}) * {1 << r}::UHUGEINT % {_2_64} + ({x}) // {1 << (64 - r)}::UHUGEINT)"
+
+
+def _mixed(x: str, a: int, r: int, b: int) -> str:
+    product = f"(({x}) * {a}::UHUGEINT % {_2_64})"
+    return f"({_turn(product, r)} * {b}::UHUGEINT % {_2_64})"
+
+
+def _final(x: str) -> str:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = f"(xor({x}, ({x}) // {1 << 33}::UHUGEINT) * {factor}::UHUGEINT % {_2_64})"
+    return f"xor({x}, ({x}) // {1 << 33}::UHUGEINT)"
+
+
+def _number(place: str) -> str:
+    return " + ".join(f"b[{place} + {j + 1}]::UHUGEINT * {1 << 8 * j}::UHUGEINT" for j in range(8))
+
+
+_TAIL = "list_reduce(list_prepend(0::UHUGEINT, list_reverse(CAST({0} AS UHUGEINT[]))), lambda a, x: a * 256::UHUGEINT + x)"
+_H1 = f"(({_turn('xor(p.a, q.a)', 27)} + p.b) * 5::UHUGEINT + 1390208809::UHUGEINT) % {_2_64}"
+_H2 = f"(({_turn('xor(p.b, q.b)', 31)} + {_H1}) * 5::UHUGEINT + 944331445::UHUGEINT) % {_2_64}"
+
+
+@query(f"""WITH {_BYTES},
+lanes AS (SELECT path, b, len(b) AS n, list_transform(range(0, len(b) // 16), lambda i: {{'a': {_mixed(_number('16 * i'), H._C1, 31, H._C2)}, 'b': {_mixed(_number('16 * i + 8'), H._C2, 33, H._C1)}}}) AS k FROM d),
+h AS (SELECT path, n, b[n - n % 16 + 1:] AS t, list_reduce(list_prepend({{'a': {H.MURMUR3_SEED}::UHUGEINT, 'b': {H.MURMUR3_SEED}::UHUGEINT}}, k), lambda p, q: {{'a': {_H1}, 'b': {_H2}}}) AS s FROM lanes),
+t AS (SELECT path, n, s, {_TAIL.format('t[1:8]')} AS t1, {_TAIL.format('t[9:]')} AS t2 FROM h),
+x AS (SELECT path, xor(xor(s.a, {_mixed('t1', H._C1, 31, H._C2)}), n::UHUGEINT) AS a, xor(xor(s.b, {_mixed('t2', H._C2, 33, H._C1)}), n::UHUGEINT) AS b FROM t),
+y AS (SELECT path, (a + b) % {_2_64} AS a, (a + b + b) % {_2_64} AS b FROM x),
+z AS (SELECT path, {_final('a')} AS a, {_final('b')} AS b FROM y),
+o AS (SELECT path, (a + b) % {_2_64} AS a, (a + b + b) % {_2_64} AS b FROM z)
+SELECT path, lower(array_to_string(list_reverse(regexp_extract_all(lpad(hex(a::UBIGINT), 16, '0'), '..')), '') || array_to_string(list_reverse(regexp_extract_all(lpad(hex(b::UBIGINT), 16, '0'), '..')), '')) AS murmur3 FROM o""")
+def murmur_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return d.select(F.col("doc_id").cast("string").alias("path"), H.murmur3(F.col("text").cast("binary")).alias("murmur3"))
+
+
 def _kv(spark: SparkSession, sf_dir: str) -> KeyValueTable:
     """Counts; then newer values below 80; then deletes below 10."""
     f = C.frequencies(_doc(spark, sf_dir)).select(F.col("fp").alias("key"), F.col("cnt").alias("value"))
