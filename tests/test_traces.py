@@ -47,6 +47,19 @@ def test_neighbours_stay_in_streams_and_cross_blocks(spark):
     assert sum(want.values()) == t.count() - 2
 
 
+def test_carries_reach_over_parts_of_a_stream(spark):
+    r = random.Random(4)
+    rows = [("u", b, 10 * b + i, fp(r.randrange(9)), 1, 10) for b in (0, 1, 2, 7, 8, 30, 31, 95) for i in range(r.randrange(1, 4))]
+    got = {x.seq: x.prev for x in C.adjacent(spark.createDataFrame(rows, KIND), spread=4).collect()}
+    assert got == {b[2]: a[3] if a else None for a, b in zip([None, *rows], rows)}
+
+
+def test_numbers_run_over_classes(spark):
+    d = spark.createDataFrame([(i,) for i in random.Random(1).sample(range(1000), 300)], "v long")
+    got = {x.v: x.number for x in C.numbered(d, F.floor(F.col("v") / 64), "v").collect()}
+    assert got == {v: k for k, v in enumerate(sorted(got))}
+
+
 def test_empty_and_single(spark):
     for rows in ({}, {"u": [(fp(1), 5)]}):
         t = trace(spark, rows) if rows else spark.createDataFrame([], KIND)

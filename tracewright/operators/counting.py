@@ -11,15 +11,31 @@ def frequencies(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("fp").agg(F.count("*").alias("cnt"))
 
 
-def adjacent(chunks: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, cls: Column, *order) -> DataFrame:  # noqa: ANN002
+    """rows with number 0, 1, ... by (class, order): windows within classes, and offsets from a row for each class.
+
+    The classes must ascend with the order; only their counts are numbered in one task.
+    """
+    rows = rows.withColumn("_class", cls)
+    before = Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_class").agg(F.count("*").alias("n")).select("_class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_class").orderBy(*order))
+    return rows.withColumn("_own", own).join(base, "_class").withColumn("number", F.col("_base") + F.col("_own") - 1).drop("_class", "_own", "_base")
+
+
+def adjacent(chunks: DataFrame, spread: int = 4096) -> DataFrame:
     """chunks and prev: the fingerprint before, within the stream (null for a stream's first).
 
-    The window is over a block of a stream; between blocks the last fingerprint is carried by a window over one row per
-    block, so a single long stream still spreads over all tasks.
+    The window is over a block of a stream. Between blocks the last fingerprint is carried by windows over a row for each
+    block, `spread` block numbers at a time, and between those by a row for each, so a single long stream still spreads
+    over all tasks.
     """
     inside = Window.partitionBy("stream", "block").orderBy("seq")
-    last = chunks.groupBy("stream", "block").agg(F.max_by("fp", "seq").alias("last"))
-    carried = last.select("stream", "block", F.lag("last").over(Window.partitionBy("stream").orderBy("block")).alias("before"))
+    last = chunks.groupBy("stream", "block").agg(F.max_by("fp", "seq").alias("last")).withColumn("part", F.floor(F.col("block") / spread))
+    ends = last.groupBy("stream", "part").agg(F.max_by("last", "block").alias("end"))
+    ends = ends.select("stream", "part", F.lag("end").over(Window.partitionBy("stream").orderBy("part")).alias("outer"))
+    near = F.lag("last").over(Window.partitionBy("stream", "part").orderBy("block"))
+    carried = last.withColumn("near", near).join(ends, ["stream", "part"]).select("stream", "block", F.coalesce("near", "outer").alias("before"))
     rows = chunks.withColumns({"own": F.lag("fp").over(inside), "first": F.row_number().over(inside) == 1})
     return rows.join(carried, ["stream", "block"]).withColumn("prev", F.when(F.col("first"), F.col("before")).otherwise(F.col("own"))).drop("own", "first", "before")
 
