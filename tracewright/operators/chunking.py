@@ -12,7 +12,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.hashing import hash_column, ratio_column
@@ -137,20 +137,34 @@ CHUNKERS: dict[str, Callable[[bytes, VariableParams], list[tuple[int, int]]]] =
 
 def chunk_files(files: DataFrame, method: str = "rabin", params: VariableParams = VariableParams(), hashing: str = "md5-48bit", ratio: str = "none") -> DataFrame:
     """files (path, content) -> (path, chunk_no, offset, size, fp, cratio)."""
+    return multi_scan(files, [{"method": method, "params": params, "hashing": hashing, "ratio": ratio}]).drop("config")
+
+
+def multi_scan(files: DataFrame, configs: list[dict]) -> DataFrame:
+    """Several chunkings of the same files in one pass over them, told apart by `config`; each as chunk_files."""
+    ways = [(c.get("method", "rabin"), c.get("params", VariableParams())) for c in configs]
+    fields = ["config", "path", "chunk_no", "offset", "size", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                cuts = random_chunks(data or b"", params, path) if method == "random" else CHUNKERS[method](data or b"", params)
-                for a in range(0, len(cuts), 4096):
-                    part = cuts[a : a + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * len(part), pa.string()), pa.array(range(a, a + len(part)), pa.int64()), pa.array([o for o, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64()), pa.array([data[o : o + n] for o, n in part], pa.binary())],
-                        ["path", "chunk_no", "offset", "size", "data"],
-                    )
+                for k, (method, params) in enumerate(ways):
+                    cuts = random_chunks(data or b"", params, path) if method == "random" else CHUNKERS[method](data or b"", params)
+                    for a in range(0, len(cuts), 4096):
+                        part = cuts[a : a + 4096]
+                        columns = ([k] * len(part), [path] * len(part), range(a, a + len(part)), [o for o, _ in part], [n for _, n in part], [data[o : o + n] for o, n in part])
+                        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], fields)
+
+    def own(make, name: str, default: str) -> Column:  # noqa: ANN001
+        """make(data, method) by the config of a row."""
+        found = {c.get(name, default) for c in configs}
+        if len(found) == 1:
+            return make(F.col("data"), found.pop())
+        return F.coalesce(*[F.when(F.col("config") == k, make(F.col("data"), c.get(name, default))) for k, c in enumerate(configs)])
 
-    cut = files.select("path", "content").mapInArrow(run, "path string, chunk_no long, offset long, size long, data binary")
-    return cut.select("path", "chunk_no", "offset", "size", hash_column(F.col("data"), hashing).alias("fp"), ratio_column(F.col("data"), ratio).alias("cratio"))
+    cut = files.select("path", "content").mapInArrow(run, "config int, path string, chunk_no long, offset long, size long, data binary")
+    return cut.select("config", "path", "chunk_no", "offset", "size", own(hash_column, "hashing", "md5-48bit").alias("fp"), own(ratio_column, "ratio", "none").alias("cratio"))
 
 
 def list_entries(root: str, same_device: bool = False) -> Iterator[tuple[str, str, str | None, int]]:
@@ -211,12 +225,3 @@ def scan_directory(spark: SparkSession, root: str, **how) -> DataFrame:  # noqa:
         kinds = scan_entries(spark, root.removeprefix("file://")).where("kind = 'file'").select(F.concat(F.lit("file:"), "path").alias("path"))
         files = files.join(kinds, "path", "left_semi")
     return chunk_files(files, **how)
-
-
-def multi_scan(files: DataFrame, configs: list[dict]) -> DataFrame:
-    """Several chunkings of the same files, told apart by `config`."""
-    parts = [chunk_files(files, **c).withColumn("config", F.lit(i)) for i, c in enumerate(configs)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

@@ -40,11 +40,20 @@ def adjacent(chunks: DataFrame, spread: int = 4096) -> DataFrame:
     return rows.join(carried, ["stream", "block"]).withColumn("prev", F.when(F.col("first"), F.col("before")).otherwise(F.col("own"))).drop("own", "first", "before")
 
 
-def neighbors(chunks: DataFrame, side: str) -> DataFrame:
-    """(fp, nfp, cnt, first_seq): co-occurrence with the left or right neighbour; first_seq is the later chunk's place."""
+def nul_truncated(fp: Column) -> Column:
+    """Bytes from the first zero byte on become zero bytes."""
+    return F.rpad(F.regexp_extract(fp, "^((?:0[1-9a-f]|[1-9a-f].)*)", 1), 12, "0")
+
+
+def neighbors(chunks: DataFrame, side: str, nul_truncate: bool = False) -> DataFrame:
+    """(fp, nfp, cnt, first_seq): co-occurrence with the left or right neighbour; first_seq is the later chunk's place.
+
+    nul_truncate: neighbours (not the fingerprints that they stand beside) end at their first zero byte.
+    """
     pairs = adjacent(chunks).where("prev is not null")
     fp, nfp = ("fp", "prev") if side == "left" else ("prev", "fp")
-    return pairs.groupBy(F.col(fp).alias("fp"), F.col(nfp).alias("nfp")).agg(F.count("*").alias("cnt"), F.min("seq").alias("first_seq"))
+    beside = nul_truncated(F.col(nfp)) if nul_truncate else F.col(nfp)
+    return pairs.groupBy(F.col(fp).alias("fp"), beside.alias("nfp")).agg(F.count("*").alias("cnt"), F.min("seq").alias("first_seq"))
 
 
 def top_neighbors(nbr: DataFrame, v: int) -> DataFrame:

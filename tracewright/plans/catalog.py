@@ -140,6 +140,11 @@ def right_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.neighbors(_doc(spark, sf_dir), "right")
 
 
+@query("WITH " + _TRACE + "," + _PREV + " SELECT fp, rpad(regexp_extract(prev, '^((?:0[1-9a-f]|[1-9a-f].)*)', 1), 12, '0') AS nfp, count(*) AS cnt, min(seq) AS first_seq FROM prev WHERE prev IS NOT NULL GROUP BY 1, 2")
+def left_neighbors_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.neighbors(_doc(spark, sf_dir), "left", nul_truncate=True)
+
+
 @query("WITH trace AS (SELECT strftime(ts, '%Y-%m-%d') AS stream, event_id AS seq, substr(md5(event_type || '-' || user_id), 1, 12) AS fp FROM events)," + _PREV
        + f", n AS (SELECT fp, prev AS nfp, count(*) AS cnt, min(seq) AS first_seq FROM prev WHERE prev IS NOT NULL GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY fp ORDER BY cnt DESC, first_seq, nfp) AS rk FROM n QUALIFY rk <= {V}")
 def neighbors_topv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,12 +397,14 @@ def dedup_sim_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.simulate_store(_doc(spark, sf_dir), lru_entries=4096, bloom_entries=1_000_000, container_bytes=CONTAINER)
 
 
-@query("WITH RECURSIVE " + _TRACE + f""", u AS (SELECT fp, stream, seq, size FROM trace QUALIFY row_number() OVER (PARTITION BY fp ORDER BY stream, seq, size) = 1),
+_CONTAINERS = "WITH RECURSIVE " + _TRACE + f""", u AS (SELECT fp, stream, seq, size FROM trace QUALIFY row_number() OVER (PARTITION BY fp ORDER BY stream, seq, size) = 1),
 n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) AS n FROM u),
 fold AS (SELECT stream, n, seq, fp, size, CAST(0 AS BIGINT) AS container_no, size AS open FROM n WHERE n = 1
   UNION ALL SELECT b.stream, b.n, b.seq, b.fp, b.size, f.container_no + CASE WHEN f.open + b.size > {CONTAINER} THEN 1 ELSE 0 END,
-    CASE WHEN f.open + b.size > {CONTAINER} THEN b.size ELSE f.open + b.size END FROM fold f JOIN n b ON b.stream = f.stream AND b.n = f.n + 1)
-SELECT stream, seq, fp, size, container_no FROM fold""")
+    CASE WHEN f.open + b.size > {CONTAINER} THEN b.size ELSE f.open + b.size END FROM fold f JOIN n b ON b.stream = f.stream AND b.n = f.n + 1)"""
+
+
+@query(_CONTAINERS + " SELECT stream, seq, fp, size, container_no FROM fold")
 def container_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_containers(_doc(spark, sf_dir), CONTAINER)
 

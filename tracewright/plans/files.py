@@ -11,9 +11,12 @@ from tracewright.functions import hashing as H
 from tracewright.operators import counting as C
 from tracewright.operators import defense as D
 from tracewright.operators import store as S
+from tracewright.operators.chunking import VariableParams
+from tracewright.operators.chunking import multi_scan as multi_scan_files
 from tracewright.operators.lineage import scratch_path
+from tracewright.operators.segments import pack_containers
 from tracewright.plans import reports as R
-from tracewright.plans.catalog import CONTAINER, SEG_MAX, SEG_MIN, _MINHASH, _SCRAMBLE, _TRACE, _doc, _segments, query
+from tracewright.plans.catalog import CONTAINER, SEG_MAX, SEG_MIN, _CONTAINERS, _MINHASH, _SCRAMBLE, _TRACE, _doc, _docs_files, _segments, query
 from tracewright.sources import traces as T
 from tracewright.sources.hashfile import VERSIONS, read_hashfile, write_hashfiles
 from tracewright.sources.kvstore import KeyValueTable
@@ -248,6 +251,28 @@ def resumed_update_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out).where("update_access > 0").select("snapshot", "update_access")
 
 
+@query(_CONTAINERS + """, asked AS (SELECT DISTINCT stream, container_no FROM fold WHERE fp < '08')
+SELECT stream, container_no, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS bytes, min(seq) AS first_seq FROM fold SEMI JOIN asked USING (stream, container_no) GROUP BY 1, 2""")
+def containers_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers written, and those read again that hold a fingerprint below 08."""
+    packed = pack_containers(_doc(spark, sf_dir), CONTAINER)
+    path = scratch_path(spark, "containers")
+    S.write_containers(packed, path)
+    asked = S.read_containers(spark, path).where("fp < '08'").select("stream", "container_no")
+    found = S.read_containers(spark, path, asked)
+    return found.groupBy("stream", "container_no").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes"), F.min("seq").alias("first_seq"))
+
+
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS path, hex(encode(text)) AS h FROM documents WHERE text <> ''),
+c AS (SELECT 0 AS config, 512 AS size UNION ALL SELECT 1, 4096),
+p AS (SELECT config, path, i AS chunk_no, i * c.size AS "offset", unhex(substr(h, i * c.size * 2 + 1, c.size * 2)) AS piece FROM (SELECT config, size, path, h, unnest(range(0, (length(h) + 2 * size - 1) // (2 * size))) AS i FROM d, c) c)
+SELECT config, path, chunk_no, "offset", octet_length(piece) AS size, CASE config WHEN 0 THEN substr(md5(piece), 1, 12) ELSE sha1(piece) END AS fp, CAST(10 AS INTEGER) AS cratio FROM p""")
+def multi_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two chunkings with hashes of their own in one pass over the files."""
+    configs = [{"method": "fixed", "params": VariableParams(smallest=512)}, {"method": "fixed", "params": VariableParams(smallest=4096), "hashing": "sha1"}]
+    return multi_scan_files(_docs_files(spark, sf_dir), configs)
+
+
 _EVENTS = "SELECT strftime(ts, '%Y-%m-%d') AS stream, event_id AS seq, substr(md5(event_type || '-' || user_id), 1, 12) AS fp, 4096 + event_id % 4096 AS size FROM events"
 LRU = 64
 
