@@ -120,7 +120,9 @@ def unique_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(F.count("*").alias("unique_chunks"), F.sum("cnt").alias("chunks"))
 
 
-@query("WITH " + _TRACE + " SELECT fp, cnt, row_number() OVER (ORDER BY cnt DESC, fp) AS rank FROM (SELECT fp, count(*) AS cnt FROM trace GROUP BY 1) QUALIFY rank <= 100")
+@query("WITH " + _TRACE +
+       " SELECT fp, cnt, row_number() OVER (ORDER BY cnt DESC, fp) AS rank FROM (SELECT fp, count(*) AS cnt"
+       " FROM trace GROUP BY 1) QUALIFY rank <= 100")
 def freq_topu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.top_frequencies(C.frequencies(_doc(spark, sf_dir)), 100)
 
@@ -140,13 +142,18 @@ def right_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.neighbors(_doc(spark, sf_dir), "right")
 
 
-@query("WITH " + _TRACE + "," + _PREV + " SELECT fp, rpad(regexp_extract(prev, '^((?:0[1-9a-f]|[1-9a-f].)*)', 1), 12, '0') AS nfp, count(*) AS cnt, min(seq) AS first_seq FROM prev WHERE prev IS NOT NULL GROUP BY 1, 2")
+@query("WITH " + _TRACE + "," + _PREV +
+       " SELECT fp, rpad(regexp_extract(prev, '^((?:0[1-9a-f]|[1-9a-f].)*)', 1), 12, '0') AS nfp, count(*) AS cnt, min(seq) AS first_seq"
+       " FROM prev WHERE prev IS NOT NULL GROUP BY 1, 2")
 def left_neighbors_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.neighbors(_doc(spark, sf_dir), "left", nul_truncate=True)
 
 
 @query("WITH trace AS (SELECT strftime(ts, '%Y-%m-%d') AS stream, event_id AS seq, substr(md5(event_type || '-' || user_id), 1, 12) AS fp FROM events)," + _PREV
-       + f", n AS (SELECT fp, prev AS nfp, count(*) AS cnt, min(seq) AS first_seq FROM prev WHERE prev IS NOT NULL GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY fp ORDER BY cnt DESC, first_seq, nfp) AS rk FROM n QUALIFY rk <= {V}")
+       +
+       f", n AS (SELECT fp, prev AS nfp, count(*) AS cnt, min(seq) AS first_seq FROM prev"
+       f" WHERE prev IS NOT NULL GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY fp ORDER BY cnt DESC, first_seq, nfp) AS rk"
+       f" FROM n QUALIFY rk <= {V}")
 def neighbors_topv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.top_neighbors(C.neighbors(T.event_trace(spark, sf_dir), "left"), V).drop("up")
 
@@ -157,7 +164,9 @@ def basic_attack_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.rank_match(C.frequencies(aux), C.frequencies(target))
 
 
-@query("WITH " + _BACKUPS + "," + _RANKED + " SELECT n AS unique_chunks, c AS correct, round(100.0 * c / n, 6) AS rate FROM (SELECT count(*) AS n FROM ft), (SELECT CAST(count(*) FILTER (correct) AS BIGINT) AS c FROM pairs)")
+@query("WITH " + _BACKUPS + "," + _RANKED +
+       " SELECT n AS unique_chunks, c AS correct, round(100.0 * c / n, 6) AS rate FROM (SELECT count(*) AS n"
+       " FROM ft), (SELECT CAST(count(*) FILTER (correct) AS BIGINT) AS c FROM pairs)")
 def basic_attack_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.basic_summary_within(T.doc_trace(spark, sf_dir, stream=""), T.in_first(0.9, T.last_block(spark, sf_dir)))
 
@@ -264,7 +273,10 @@ def locality_leakage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.locality_inference(*_whole(spark, sf_dir), u=U, v=V, leakage=LEAK)[1]
 
 
-@query("WITH " + _BACKUPS + f", f AS (SELECT DISTINCT fp FROM trace WHERE ('0x' || substr(md5(fp), 1, 8))::BIGINT % 10000 <= {int(LEAK * 10000)}) SELECT row_number() OVER (ORDER BY fp) - 1 AS pos, fp AS m_fp, fp AS c_fp FROM f SEMI JOIN aux USING (fp)")
+@query("WITH " + _BACKUPS +
+       f", f AS (SELECT DISTINCT fp FROM trace"
+       f" WHERE ('0x' || substr(md5(fp), 1, 8))::BIGINT % 10000 <= {int(LEAK * 10000)}) SELECT row_number() OVER (ORDER BY fp) - 1 AS pos, fp AS m_fp, fp AS c_fp"
+       f" FROM f SEMI JOIN aux USING (fp)")
 def leak_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     aux, target = _whole(spark, sf_dir)
     return I.leaked_seeds(C.frequencies(aux), C.frequencies(target), LEAK)[0]
@@ -303,7 +315,10 @@ def scramble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.scramble(_segments(spark, sf_dir)).select("stream", "seq", "fp", "seg_id", "new_seq")
 
 
-@query("WITH RECURSIVE " + _SCRAMBLE + ", low AS (SELECT stream, seg_id, min(fp) AS key_fp FROM segs GROUP BY 1, 2) SELECT stream, new_seq, substr(md5(unhex(fp || key_fp)), 1, 12) AS c_fp, size FROM mixed JOIN low USING (stream, seg_id)")
+@query("WITH RECURSIVE " + _SCRAMBLE +
+       ", low AS (SELECT stream, seg_id, min(fp) AS key_fp"
+       " FROM segs GROUP BY 1, 2) SELECT stream, new_seq, substr(md5(unhex(fp || key_fp)), 1, 12) AS c_fp, size"
+       " FROM mixed JOIN low USING (stream, seg_id)")
 def combined_encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.combined(_segments(spark, sf_dir)).select("stream", "new_seq", "c_fp", "size")
 
@@ -346,7 +361,9 @@ def defense_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("\nUNION ALL\n".join(
     f"SELECT *, '{x}' AS aux FROM (WITH " + _ONE_STREAM.format(share=x) + _RANKED.replace("FROM trace", "FROM tgt")
-    + " SELECT n AS unique_chunks, c AS correct, round(100.0 * c / n, 6)::DOUBLE AS rate FROM (SELECT count(*) AS n FROM ft), (SELECT CAST(count(*) FILTER (correct) AS BIGINT) AS c FROM pairs))"
+    +
+       " SELECT n AS unique_chunks, c AS correct, round(100.0 * c / n, 6)::DOUBLE AS rate FROM (SELECT count(*) AS n"
+       " FROM ft), (SELECT CAST(count(*) FILTER (correct) AS BIGINT) AS c FROM pairs))"
     for x in (0.5, 0.9)
 ))
 def aux_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,7 +483,9 @@ def builtin_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", *[H.hash_column(c, m).alias(n) for m, n in (("md5", "md5"), ("sha1", "sha1"), ("sha256", "sha256"), ("md5-48bit", "md5_48"), ("md5-64bit", "md5_64"))])
 
 
-@query("WITH " + _TRACE + " SELECT fp, regexp_replace(fp, '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') AS shown, lpad(printf('%b', ('0x' || fp)::BIGINT), 48, '0') AS bits FROM (SELECT DISTINCT fp FROM trace)")
+@query("WITH " + _TRACE +
+       " SELECT fp, regexp_replace(fp, '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') AS shown, lpad(printf('%b', ('0x' || fp)::BIGINT), 48, '0') AS bits"
+       " FROM (SELECT DISTINCT fp FROM trace)")
 def fp_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc(spark, sf_dir).select("fp").distinct().select("fp", T.format_fp(F.col("fp")).alias("shown"), H.hex_bits(F.col("fp")).alias("bits"))
 
