@@ -332,6 +332,23 @@ def test_chunks_keep_their_bounds(method):
         at += n
 
 
+@pytest.mark.parametrize("method", ["fixed", "rabin", "simple"])
+@pytest.mark.parametrize("tails", [True, False])
+def test_blocks_give_the_chunks_of_whole_files(spark, tmp_path, method, tails):
+    p = K.VariableParams(bits=5, pattern=0x0A, smallest=60, largest=300, window=48, tails=tails)
+    r = random.Random(6)
+    for n in (0, 1, 59, 60, 299, 300, 301, 9000):
+        data = r.randbytes(n)
+        want = [(a, data[a : a + k]) for a, k in K.CHUNKERS[method](data, p)]
+        for block in (1, 7, 100, 1000, 20_000):
+            assert list(K.stream_chunks((data[a : a + block] for a in range(0, n, block)), method, p)) == want
+    (tmp_path / "x").write_bytes(data)
+    paths = spark.createDataFrame([(str(tmp_path / "x"),)], "path string")
+    whole = K.chunk_files(paths.withColumn("content", F.lit(bytearray(data))), method, p)
+    key = lambda d: sorted(tuple(x) for x in d.collect())
+    assert key(K.chunk_paths(paths, method, p, block=1000)) == key(whole)
+
+
 def test_directory_scan(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "b" / "x.txt").write_bytes(b"x" * 5000)

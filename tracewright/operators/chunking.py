@@ -7,7 +7,7 @@ import os
 import random
 import stat
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice
 
 import numpy as np
@@ -19,6 +19,8 @@ from tracewright.functions.hashing import hash_column, ratio_column
 
 RABIN_PRIME = 1048583  # fixed value
 RABIN_MODULUS = 1 << 30  # fixed value
+#: Bytes that a file is read by.
+READ_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -167,6 +169,59 @@ def multi_scan(files: DataFrame, configs: list[dict]) -> DataFrame:
     return cut.select("config", "path", "chunk_no", "offset", "size", own(hash_column, "hashing", "md5-48bit").alias("fp"), own(ratio_column, "ratio", "none").alias("cratio"))
 
 
+def stream_chunks(blocks: Iterator[bytes], method: str = "rabin", params: VariableParams = VariableParams()) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of the chunks of a file that is read block by block: fixed, rabin or simple.
+
+    Where a chunk ends depends on the longest chunk's bytes behind its start alone, so it is settled once those are there;
+    what is held is a block and two such chunks.
+    """
+    if method == "random":
+        raise ValueError("random cuts are drawn for whole files")
+    longest = params.smallest if method == "fixed" else params.largest
+    inner = replace(params, tails=False)
+    held, base = b"", 0
+    for block in blocks:
+        held += block
+        if len(held) < 2 * longest:
+            continue
+        at = 0
+        for start, n in CHUNKERS[method](held, inner):
+            if start + longest > len(held):
+                break
+            yield base + start, held[start : start + n]
+            at = start + n
+        held, base = held[at:], base + at
+    for start, n in CHUNKERS[method](held, params):
+        yield base + start, held[start : start + n]
+
+
+def chunk_paths(paths: DataFrame, method: str = "rabin", params: VariableParams = VariableParams(), hashing: str = "md5-48bit", ratio: str = "none", block: int = READ_BYTES) -> DataFrame:
+    """(path, chunk_no, offset, size, fp, cratio) of files that executors open themselves (column path), however large.
+
+    As chunk_files, which needs a whole file in a row but reads whatever Spark reads.
+    """
+
+    def blocks(path: str) -> Iterator[bytes]:
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        with store.open_input_stream(name) as f:
+            while data := f.read(block):
+                yield data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                found = enumerate(stream_chunks(blocks(path), method, params))
+                while piece := list(islice(found, 256)):
+                    rows = [(path, k, at, len(data), data) for k, (at, data) in piece]
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["path", "chunk_no", "offset", "size", "data"])
+
+    cut = paths.select("path").mapInArrow(run, "path string, chunk_no long, offset long, size long, data binary")
+    return cut.select("path", "chunk_no", "offset", "size", hash_column(F.col("data"), hashing).alias("fp"), ratio_column(F.col("data"), ratio).alias("cratio"))
+
+
 def list_entries(root: str, same_device: bool = False) -> Iterator[tuple[str, str, str | None, int]]:
     """(path, kind, target, size) of what is below a local folder: file, link (with its target), device; folders are walked.
 
@@ -218,10 +273,18 @@ def list_entries_flat(root: str) -> Iterator[tuple[str, str, str | None, int]]:
                 yield e.path, "file", None, info.st_size
 
 
-def scan_directory(spark: SparkSession, root: str, **how) -> DataFrame:  # noqa: ANN003
-    """Chunks of every regular file below root; links, devices and pipes have none (scan_entries lists them)."""
+def scan_directory(spark: SparkSession, root: str, method: str = "rabin", **how) -> DataFrame:  # noqa: ANN003
+    """Chunks of every regular file below root; links, devices and pipes have none (scan_entries lists them).
+
+    Folders that executors see themselves are read in blocks; files elsewhere, and for random cuts, come whole through
+    Spark's reader.
+    """
+    local = "://" not in root or root.startswith("file://")
+    if local and method != "random":
+        found = scan_entries(spark, root.removeprefix("file://")).where("kind = 'file'").select("path")
+        return chunk_paths(found, method, **how)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if "://" not in root or root.startswith("file://"):  # Spark's reader follows links
+    if local:  # Spark's reader follows links
         kinds = scan_entries(spark, root.removeprefix("file://")).where("kind = 'file'").select(F.concat(F.lit("file:"), "path").alias("path"))
         files = files.join(kinds, "path", "left_semi")
-    return chunk_files(files, **how)
+    return chunk_files(files, method, **how)
