@@ -132,8 +132,8 @@ class LanguageModel:
                 params[n] -= rate * min(1.0, 2 * (1 - step / (rounds + 1))) * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-7)
         return self
 
-    def score(self, texts: list[bytes], block: int = 512) -> np.ndarray:
-        """Mean probabilities of each text over all of its bytes; block: stretches at a time."""
+    def score(self, texts: list[bytes], block: int = 1024) -> np.ndarray:
+        """Mean probabilities of each text over all of its bytes; block: stretches at a time, of about one length."""
         total = np.zeros((len(texts), len(self.langs)))
         sizes = np.array([len(t) for t in texts], np.int64)
         pieces = -(-sizes // STEPS)
@@ -144,13 +144,15 @@ class LanguageModel:
         begin = np.cumsum(sizes + len(space)) - sizes
         at = begin[owner] + number * STEPS - LEAD
         left = np.minimum(sizes[owner] - number * STEPS, STEPS)
-        for a in range(0, len(at), block):
-            grid = joined[at[a : a + block] + np.arange(STEPS + 2 * LEAD)[:, None]]
-            p = self.positions(grid)[0][LEAD:-LEAD]
-            short = left[a : a + block]
-            if (short < STEPS).any():
-                p = p * (np.arange(STEPS)[:, None] < short)[:, :, None]
-            np.add.at(total, owner[a : a + block], p.sum(0))
+        order = np.argsort(-left, kind="stable")
+        for a in range(0, len(order), block):
+            own = order[a : a + block]
+            short = left[own]
+            steps = int(short[0])
+            p = self.positions(joined[at[own] + np.arange(steps + 2 * LEAD)[:, None]])[0][LEAD:-LEAD]
+            if short[-1] < steps:
+                p = p * (np.arange(steps)[:, None] < short)[:, :, None]
+            np.add.at(total, owner[own], p.sum(0))
         return total / np.maximum(sizes, 1)[:, None]
 
 
