@@ -20,6 +20,8 @@ from tracewright.sources import hashfile as X
 from tracewright.sources import traces as T
 from tracewright.sources.kvstore import KeyValueTable
 
+#: Fingerprints of two events that have equal Murmur2 under every seed.
+SHARED = ("8cefb4594c71", "9b91baf2a7f9")
 KIND = "stream string, block long, seq long, fp string, size long, cratio short"
 
 
@@ -300,6 +302,18 @@ def test_bloom_joins_the_filters_of_tasks(spark):
     assert 0 < bloom.describe()["set_share"] < 0.5 and bloom.describe()["hashes"] == 7
 
 
+def test_filter_tells_keys_apart_that_share_a_short_hash():
+    """Of 45,000 keys these two share Murmur2 under every seed: a filter with the first must not hold the second."""
+    pair = [bytes.fromhex(x) for x in SHARED]
+    assert len({H.murmur2_32(k, H.BLOOM_SEED) for k in pair}) == len({H.murmur2_32(k, 7) for k in pair}) == 1
+    bloom = S.Bloom(1_000_000, 1e-6)
+    bloom.add(pair[0])
+    assert bloom.has(pair[0]) and not bloom.has(pair[1])
+    for keys in (pair, [b"abcdefgh", b"12345678"], [b"a", b"longer than eight"]):
+        want = [H.murmur3_x64_128(k) for k in keys]
+        assert [x.tobytes() + y.tobytes() for x, y in zip(*H.murmur3_halves(keys))] == want
+
+
 def test_hashes_of_batches_equal_those_of_rows():
     r = random.Random(3)
     data = pd.Series([None, b"", *(r.randbytes(r.randrange(0, 70)) for _ in range(90)), r.randbytes(5000)])
