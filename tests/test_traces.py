@@ -302,6 +302,13 @@ def test_bloom_joins_the_filters_of_tasks(spark):
     assert 0 < bloom.describe()["set_share"] < 0.5 and bloom.describe()["hashes"] == 7
 
 
+def test_filters_keep_their_error_beyond_one_filter(spark):
+    """20,000 members in filters for 1,000 each: one filter alone would hold every other key too."""
+    rows = spark.createDataFrame([(fp(i), i % 2 == 0) for i in range(40_000)], "fp string, member boolean")
+    n = Counter(tuple(x) for x in S.found_by_filters(rows, 1000, 0.01).select("member", "found").collect())
+    assert n[True, True] == 20_000 and not n[True, False] and 0 < n[False, True] <= 400
+
+
 def test_filter_tells_keys_apart_that_share_a_short_hash():
     """Of 45,000 keys these two share Murmur2 under every seed: a filter with the first must not hold the second."""
     pair = [bytes.fromhex(x) for x in SHARED]

@@ -13,7 +13,7 @@ from tracewright.operators import defense as D
 from tracewright.operators import store as S
 from tracewright.operators.chunking import VariableParams
 from tracewright.operators.chunking import multi_scan as multi_scan_files
-from tracewright.operators.lineage import scratch_path
+from tracewright.operators.lineage import kept, scratch_path
 from tracewright.operators.segments import pack_containers
 from tracewright.plans import reports as R
 from tracewright.plans.catalog import CONTAINER, SEG_MAX, SEG_MIN, _CONTAINERS, _MINHASH, _SCRAMBLE, _TRACE, _doc, _docs_files, _segments, query
@@ -326,12 +326,11 @@ def snapshot_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _TRACE + """, aux AS (SELECT DISTINCT fp FROM trace WHERE block < 0.5 * ((SELECT max(block) FROM trace) + 1))
 SELECT (SELECT count(*) FROM aux) AS members, CAST(0 AS BIGINT) AS missed, true AS within""")
 def bloom_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter over half of the chunks misses none of them, and holds few others (at most twice its error)."""
+    """Filters over half of the chunks miss none of them, and hold few others (at most twice their error)."""
     trace = _doc(spark, sf_dir).select("block", "fp")
     half = T.in_first(0.5, T.last_block(spark, sf_dir))
-    seen = trace.groupBy("fp").agg(F.max(half).alias("member"))
-    bloom = S.build_bloom(seen.where("member").select("fp"), entries=1_000_000)
-    tested = seen.withColumn("found", S.bloom_column(bloom)(F.col("fp")))
+    seen = kept(trace.groupBy("fp").agg(F.max(half).alias("member")), "members")
+    tested = S.found_by_filters(seen, entries=1_000_000)
     member, found = F.col("member"), F.col("found")
     n = tested.agg(F.count_if(member).alias("members"), F.count_if(member & ~found).alias("missed"), F.count_if(found & ~member).alias("wrong"), F.count_if(~member).alias("others"))
     return n.select("members", "missed", (F.col("wrong") <= 2 * S.BLOOM_ERROR * F.col("others")).alias("within"))
