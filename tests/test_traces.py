@@ -117,6 +117,26 @@ def test_levels_equal_queue(spark, seed, v):
     assert one.select("c_fp").distinct().count() == one.count()
 
 
+@pytest.mark.parametrize("last", ["00", "00aaaa"])
+def test_parts_of_a_stream_equal_streams_of_their_own(spark, last):
+    """One pass over a target and the parts of it, with fingerprints that are numbers of 12 digits or not."""
+    r = random.Random(4)
+    whole = trace(spark, {s: [(fp(r.randrange(40), last), 1) for _ in range(150)] for s in ("u", "x")})
+    key = lambda d: [tuple(x) for x in d.orderBy("pos").collect()]
+    *parts, target = I.snapshots(whole, 4, [F.col("block") < 20, F.col("block") < 45, F.lit(True)])
+    for n, part in zip((20, 45), parts):
+        want = I.locality_inference(whole.where(F.col("block") < n), whole, u=3, v=4, local_rows=0)
+        got = I.locality_inference(part, target, u=3, v=4)
+        assert key(got[0]) == key(want[0]) and got[1].collect() == want[1].collect()
+
+
+def test_long_chain_is_walked_in_one_task(spark):
+    """5,000 levels of one pair each, as in long texts: level by level on tables this would take hours."""
+    t = trace(spark, {"u": [(fp(i), 1) for i in range(5000)]})
+    pairs = I.locality_inference(t, t, u=1, v=2, local_rows=I.LOCAL_ROWS)[0]
+    assert pairs.agg(F.count("*"), F.max("level")).first() == (5000, 4999) and I.LOCAL_ROWS > 10**7
+
+
 @pytest.mark.parametrize(("w", "leakage"), [(4, 0.0), (12, 0.0), (12, 0.5)])
 def test_levels_keep_the_queue_limit(spark, w, leakage):
     r = random.Random(w)
