@@ -298,6 +298,50 @@ def test_streaming_segments_equal_batch(spark, tmp_path):
     assert got == [x.seg_id for x in segment(t, 100, 300).orderBy("seq").collect()]
 
 
+@pytest.mark.parametrize(("lru", "capacity"), [(3, 40), (50, 300), (400, 5)])
+def test_store_with_an_overfull_filter_against_one_chunk_at_a_time(spark, lru, capacity):
+    """Wrong hits of the filter, chunks larger than a container, loads larger than the cache; and no state unless asked for."""
+    r = random.Random(lru)
+    streams = {s: [(f"{r.randrange(2500) * 0x9E3779B1 % 2**48:012x}", r.randrange(60)) for _ in range(3000)] for s in ("d1", "d2", "d3")}
+    bloom, cache, where, boxes, size, want = S.Bloom(1000, 0.05), {}, {}, [[]], 0, set()
+    for s, own in streams.items():
+        n = [0, 0, 0]
+        for f, k in own:
+            if f in cache:
+                cache[f] = cache.pop(f)
+                continue
+            key = bytes.fromhex(f)
+            n[0] += bloom.has(key)
+            if f not in where:
+                bloom.add(key)
+                if size + k > capacity:
+                    boxes.append([])
+                    size = 0
+                boxes[-1].append(f)
+                size, where[f], n[1] = size + k, len(boxes) - 1, n[1] + 1
+                continue
+            for x in boxes[where[f]]:
+                n[2] += 1
+                cache.pop(x, None)
+                cache[x] = None
+                if len(cache) > lru:
+                    del cache[next(iter(cache))]
+        if boxes[-1]:
+            boxes.append([])
+            size = 0
+        cache = dict.fromkeys(reversed(cache))
+        want.add((s, *n))
+    counts, state = S.run_store(trace(spark, streams), None, lru, 1000, 0.05, capacity, saved=False)
+    assert {tuple(x) for x in counts.collect()} == want and state.isEmpty()
+    got, state = set(), None
+    for s, own in streams.items():
+        counts, state = S.run_store(trace(spark, {s: own}), state, lru, 1000, 0.05, capacity)
+        got |= {tuple(x) for x in counts.collect()}
+    assert got == want
+    kept = state.where("part = 'container'").orderBy("place").collect()
+    assert [(x.no, x.fp) for x in kept] == [(i, f) for i, box in enumerate(boxes) for f in box]
+
+
 def test_store_resumes_where_it_was_saved(spark):
     r = random.Random(8)
     streams = {f"d{k}": [(fp(r.randrange(60)), r.randrange(10, 30)) for _ in range(150)] for k in range(4)}
