@@ -238,7 +238,7 @@ def kv_iterate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _TRACE + ", f AS (SELECT fp, min(stream) AS snapshot FROM trace GROUP BY 1) SELECT snapshot, count(*) AS update_access FROM f GROUP BY 1")
 def resumed_update_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store run in three jobs, its state saved and restored between them: unique inserts of each snapshot."""
-    trace = _doc(spark, sf_dir)
+    trace = kept(_doc(spark, sf_dir).select("stream", "seq", "fp", "size"), "trace")
     cuts = [r[0] for r in trace.select("stream").distinct().orderBy("stream").collect()]  # a row for each snapshot
     bounds = [None, cuts[len(cuts) // 3], cuts[2 * len(cuts) // 3], None] if len(cuts) > 2 else [None, None]
     out, state = [], None
