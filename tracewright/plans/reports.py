@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.hashing import size_text
 from tracewright.operators.defense import as_stream, combined, ground_truth, minhash_encrypt, scramble
 from tracewright.operators.inference import basic_summary, locality_inference
+from tracewright.operators.lineage import kept
 from tracewright.operators.segments import segment
 from tracewright.operators.store import simulate_store
 from tracewright.sources.hashfile import HEADER_BYTES, read_header
@@ -103,5 +104,6 @@ def snapshot_matrix(chunks: DataFrame, user: str, snapshot: str) -> DataFrame:
 
 def store_by_scheme(target: DataFrame, seg_min: int, seg_max: int, **how) -> DataFrame:  # noqa: ANN003
     """Store accesses of the plain stream and of the combined scheme."""
+    target = kept(target, "trace")
     made = as_stream(combined(segment(target, seg_min, seg_max)), "c_fp", "new_seq")
     return simulate_store(target, **how).withColumn("scheme", F.lit("plain")).unionByName(simulate_store(made, **how).withColumn("scheme", F.lit("combined")))
