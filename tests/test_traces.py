@@ -130,6 +130,15 @@ def test_parts_of_a_stream_equal_streams_of_their_own(spark, last):
         assert key(got[0]) == key(want[0]) and got[1].collect() == want[1].collect()
 
 
+def test_sweep_over_snapshots_equals_sweep_over_streams(spark):
+    r = random.Random(6)
+    whole = trace(spark, {"u": [(fp(r.randrange(30)), 1) for _ in range(150)]})
+    shares = {"a": F.col("block") < 20, "b": F.col("block") < 45}
+    *parts, target = I.snapshots(whole, 4, [*shares.values(), F.lit(True)])
+    rows = lambda d: sorted(tuple(x) for x in d.collect())
+    assert rows(R.sweep(dict(zip(shares, parts)), target, u=3, v=4)) == rows(R.sweep({k: whole.where(c) for k, c in shares.items()}, whole, u=3, v=4))
+
+
 def test_long_chain_is_walked_in_one_task(spark):
     """5,000 levels of one pair each, as in long texts: level by level on tables this would take hours."""
     t = trace(spark, {"u": [(fp(i), 1) for i in range(5000)]})
