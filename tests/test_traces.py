@@ -139,6 +139,17 @@ def test_sweep_over_snapshots_equals_sweep_over_streams(spark):
     assert rows(R.sweep(dict(zip(shares, parts)), target, u=3, v=4)) == rows(R.sweep({k: whole.where(c) for k, c in shares.items()}, whole, u=3, v=4))
 
 
+def test_schemes_over_one_set_of_segments(spark):
+    """A snapshot of the auxiliary stream and written segments give what streams give, for a scheme with a truth."""
+    r = random.Random(9)
+    whole = trace(spark, {"u": [(fp(r.randrange(30)), 10) for _ in range(120)]})
+    aux = whole.where("block < 30")
+    got = R.evaluate_segments(I.snapshot(aux, 4), segment(whole, 40, 90), "combined", v=4, u=3).collect()
+    parts = D.combined(segment(whole, 40, 90))
+    want = I.locality_inference(aux, D.as_stream(parts, "c_fp", "new_seq"), u=3, v=4, truth=D.ground_truth(parts), local_rows=0)[1]
+    assert got == want.withColumn("scheme", F.lit("combined")).collect()
+
+
 def test_long_chain_is_walked_in_one_task(spark):
     """5,000 levels of one pair each, as in long texts: level by level on tables this would take hours."""
     t = trace(spark, {"u": [(fp(i), 1) for i in range(5000)]})
