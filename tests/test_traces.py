@@ -157,6 +157,14 @@ def test_long_chain_is_walked_in_one_task(spark):
     assert pairs.agg(F.count("*"), F.max("level")).first() == (5000, 4999) and I.LOCAL_ROWS > 10**7
 
 
+def test_lone_neighbours_are_not_ranked(spark):
+    """Of 300 fingerprints one has several neighbours on a side; only it has ranked lists, in every part."""
+    t = trace(spark, {"u": [(fp(i), 1) for i in [*range(150), 7, 7, *range(150, 300)]]})
+    half, whole = I.snapshots(t, 4, [F.col("block") < 40, F.lit(True)])
+    assert [{int(x.fp) >> 8 for x in s.lists.collect()} for s in (half, whole)] == [{7}, {7}]
+    assert half.lone is whole.lone and (half.lone.count(), whole.size) == (299, 602)
+
+
 @pytest.mark.parametrize(("w", "leakage"), [(4, 0.0), (12, 0.0), (12, 0.5)])
 def test_levels_keep_the_queue_limit(spark, w, leakage):
     r = random.Random(w)
