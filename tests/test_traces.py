@@ -185,6 +185,16 @@ def test_bottom_alignment_and_queue_limit():
     assert I.walk([("m", "c")], {"c"}, aux, target, 1) == [(0, "m", "c")]
 
 
+@pytest.mark.parametrize("leakage", [0.0, 0.5])
+def test_summary_compares_numbers(spark, leakage):
+    """Pairs are written as numbers; a summary makes no digits of them."""
+    t = trace(spark, {"u": [(fp(i % 40), 1) for i in range(90)]})
+    pairs, summary = I.locality_inference(t.where("seq < 60"), t, leakage=leakage)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "lpad" in plan(pairs) and "lpad" not in plan(summary)
+    assert summary.first().inferred == pairs.count()
+
+
 def test_full_leak(spark):
     t = trace(spark, {"u": [(fp(i % 7), 1) for i in range(30)]})
     s = I.locality_inference(t.where("seq < 5"), t, leakage=1.0)[1].first()
