@@ -2,8 +2,10 @@
 
 import os
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +187,20 @@ def test_bottom_alignment_and_queue_limit():
     assert I.walk([("m", "c")], {"c"}, aux, target, 1) == [(0, "m", "c")]
 
 
+def test_numbers_of_fingerprints_take_little_memory():
+    """Beside what goes in, making and looking up keys holds 20 bytes for each at most."""
+    r = np.random.default_rng(3)
+    pieces = [r.integers(0, 1 << 48, n) for n in (400_000, 300_000)]
+    pieces.append(pieces[0][:1000])
+    tracemalloc.start()
+    keys = I._distinct(pieces)
+    places = I._places(keys, pieces[1], 10_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(keys) and (keys[places] == pieces[1]).all()
+    assert keys.tolist() == sorted(set(np.concatenate(pieces).tolist())) and not len(I._distinct([keys[:0]]))
+
+
 @pytest.mark.parametrize("leakage", [0.0, 0.5])
 def test_summary_compares_numbers(spark, leakage):
     """Pairs are written as numbers; a summary makes no digits of them."""
