@@ -2,9 +2,11 @@
 
 import os
 import random
+import sys
 import tracemalloc
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -16,7 +18,9 @@ from tracewright.operators import counting as C
 from tracewright.operators import defense as D
 from tracewright.operators import inference as I
 from tracewright.operators import store as S
+from tracewright.operators.lineage import kept
 from tracewright.operators.segments import pack_containers, segment
+from tracewright.plans import catalog
 from tracewright.plans import reports as R
 from tracewright.sources import hashfile as X
 from tracewright.sources import traces as T
@@ -167,6 +171,78 @@ def test_lone_neighbours_are_not_ranked(spark):
     assert half.lone is whole.lone and (half.lone.count(), whole.size) == (299, 602)
 
 
+def test_leakage_query_has_no_queue_limit(spark, tmp_path, monkeypatch):
+    """Its SQL has none, and with a seed per hundred chunks the queue outgrows any fixed one: an operator's limit must not reach it."""
+    r = random.Random(12)
+    texts = [(i, "".join(r.choice(["%064d" % r.randrange(2500), "%064d" % (10**6 + i)]) for _ in range(30)), "s") for i in range(150)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = []
+    for w in (3, 10**9):
+        monkeypatch.setattr(I.locality_inference, "__defaults__", (5, 30, w, 0.0, None, I.LOCAL_ROWS))
+        got.append(tuple(catalog.locality_leakage_summary(spark, str(tmp_path)).first()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == [db.execute(catalog.ORACLES["locality_leakage_summary"]).fetchone()] * 2 and got[0][2] > 3
+
+
+def test_chunks_of_documents_with_those_beside(spark, tmp_path):
+    """Neighbours from a document's own array are those of the window, which the trace itself needs."""
+    texts = [(3, "ab" * 200, "s"), (1, "x", "t"), (2, "", "s"), (7, "y\n" * 64 + "é", "s"), (9, None, "s")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = C.with_beside(T.doc_trace(spark, str(tmp_path), stream="").select("stream", "block", "seq", I._number(F.col("fp")).alias("fp")))
+    got = T.doc_numbers(spark, str(tmp_path))
+    rows = lambda d: sorted(map(tuple, d.collect()), key=lambda x: x[2])
+    assert got.columns == want.columns and rows(got) == rows(want) and got.count() == 7 + 1 + 3
+
+
+def test_snapshots_write_one_table_of_fingerprints(spark, monkeypatch):
+    """Frequencies and neighbours come from one aggregate; pairs of all chunks are not written."""
+    names = []
+    monkeypatch.setattr(I, "kept", lambda d, name: names.append(name) or kept(d, name))
+    t = trace(spark, {"u": [(fp(i % 40), 1) for i in range(90)], "x": [(fp(99), 1)]})
+    half, whole = I.snapshots(t, 4, [F.col("block") < 20, F.lit(True)])
+    assert names == ["beside", "across", "ends", "lists"]
+    for s, part in ((half, t.where("block < 20")), (whole, t)):
+        assert sorted(map(tuple, s.freq.collect())) == sorted(map(tuple, C.frequencies(part).collect()))
+
+
+def _random_links(r, n, lone):
+    own = [(i, r.randrange(n)) for i in range(n) if r.random() < lone]
+    rest = sorted({*range(n)} - {i for i, _ in own})
+    entries = [(i, r.randrange(n), k) for i in rest if r.random() < 0.8 for k in range(r.randrange(1, 4))]
+    links = I._Links(n)
+    column = lambda rows, k: np.array([x[k] for x in rows], np.int32)
+    links.fill((column(own, 0), column(own, 1)), *(column(entries, k) for k in range(3)))
+    return links
+
+
+@pytest.mark.parametrize("lone", [0.0, 0.6, 1.0])
+def test_wide_levels_equal_narrow_ones(lone):
+    """Levels expanded side by side give the pairs, order and marks of pair by pair, below and at a queue limit."""
+    r = random.Random(lone)
+    longest = 0
+    for n in (20, 200, 900):
+        for w in (3, 12, 60, sys.maxsize):
+            aux, target = ([_random_links(r, n, lone) for _ in "lr"] for _ in "at")
+            start = [(r.randrange(n), c) for c in r.sample(range(n), 10)]
+            out = []
+            for wide in (1, 10**9):
+                seen = bytearray(n)
+                for _, c in start:
+                    seen[c] = 1
+                out.append([*I._walk_numbers(start, seen, aux, target, w, wide), seen])
+            assert out[0] == out[1]
+            longest = max(longest, len(out[0][0]))
+    assert longest > 100
+
+
+def test_places_of_uneven_and_missing_values():
+    for keys in ([5, 6, 7, 1 << 47], [*range(1000), 1 << 47], [9]):
+        keys = np.array(keys)
+        assert I._places(keys, keys[::-1], 7).tolist() == list(range(len(keys)))[::-1]
+        assert (I._places(keys, np.array([-1, 8, 1 << 50])) <= len(keys)).all()
+
+
 @pytest.mark.parametrize(("w", "leakage"), [(4, 0.0), (12, 0.0), (12, 0.5)])
 def test_levels_keep_the_queue_limit(spark, w, leakage):
     r = random.Random(w)
