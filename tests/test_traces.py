@@ -277,6 +277,41 @@ def test_numbers_of_fingerprints_take_little_memory():
     assert keys.tolist() == sorted(set(np.concatenate(pieces).tolist())) and not len(I._distinct([keys[:0]]))
 
 
+def test_walk_of_a_large_trace_fits_one_task():
+    """About 90,000,000 neighbours, those of a GB of documents, are below the limit; a fingerprint with its lone neighbours on both
+    sides takes 20 bytes, 30 while they are made. Rows that come before the last key wait."""
+    r = np.random.default_rng(5)
+    n = 400_000
+    keys = r.permutation(np.unique(r.integers(0, 1 << 48, n)))
+    n = len(keys)
+    before, behind = np.roll(keys, 1), np.roll(keys, -1)
+    tracemalloc.start()
+    space = I._Space(n)
+    space.add_keys(keys[: n // 2])
+    space.add(np.full(10, 3, np.uint8), *(x[:10] for x in (keys, before, behind)))
+    space.add_keys(keys[n // 2 :])
+    for at in range(10, n, 10_000):
+        space.add(np.full(len(keys[at : at + 10_000]), 3, np.uint8), *(x[at : at + 10_000] for x in (keys, before, behind)))
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 20 * n and peak < 30 * n and I.LOCAL_ROWS > 2 * 10**8
+    order = space.keys.find(keys)
+    assert (np.sort(keys) == space.keys.values(np.arange(n))).all() and (np.sort(keys)[order] == keys).all()
+    for of, x in zip(space.of, (before, behind)):
+        assert (space.keys.values(of[order]) == x).all()
+    assert (space.own == 3).all()
+
+
+def test_summary_writes_no_pairs(spark, monkeypatch):
+    """The walk in one task counts for a summary, and gives what the summary beside pairs has."""
+    made = []
+    monkeypatch.setattr(I, "kept", lambda d, name: made.append((name, d.columns)) or kept(d, name))
+    t = trace(spark, {"u": [(fp(i % 40), 1) for i in range(90)]})
+    half, whole = I.snapshots(t, 4, [F.col("block") < 20, F.lit(True)])
+    got = I.locality_summary(half, whole, u=3, v=4).first()
+    assert ("walk", ["inferred", "hits"]) in made and got == I.locality_inference(half, whole, u=3, v=4)[1].first()
+
+
 @pytest.mark.parametrize("leakage", [0.0, 0.5])
 def test_summary_compares_numbers(spark, leakage):
     """Pairs are written as numbers; a summary makes no digits of them."""
