@@ -156,6 +156,26 @@ def test_schemes_over_one_set_of_segments(spark):
     assert got == want.withColumn("scheme", F.lit("combined")).collect()
 
 
+@pytest.mark.parametrize("scheme", ["minhash", "scramble", "combined"])
+def test_schemes_write_numbers_and_neighbours_once(spark, monkeypatch, scheme):
+    """No window over a written scheme, and its truth is that of ground_truth, also where plaintexts share a ciphertext."""
+    names = []
+    for at in (R, I, D):
+        monkeypatch.setattr(at, "kept", lambda d, name: names.append((name, dict(d.dtypes).get("fp"))) or kept(d, name))
+    r = random.Random(3)
+    whole = trace(spark, {s: [(fp(r.randrange(30)), 10) for _ in range(60)] for s in ("u", "x")})
+    R.evaluate_segments(I.snapshot(whole.where("block < 30"), 4), segment(whole, 40, 90), scheme, v=4, u=3)
+    at = names.index(("made", "bigint"))
+    assert "beside" not in [n for n, _ in names[at:]]
+
+
+def test_last_plaintext_of_a_ciphertext(spark):
+    rows = [(9, 1, "u", 5), (9, 2, "u", 7), (9, 3, "t", 8), (4, 6, "u", 1), (4, 6, "x", 2)]
+    got = D.last_plain(spark.createDataFrame(rows, "fp long, plain long, stream string, was long"))
+    want = D.ground_truth(spark.createDataFrame(rows, "c_fp long, fp long, stream string, seq long"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(4, 6), (9, 2)]
+
+
 def test_long_chain_is_walked_in_one_task(spark):
     """5,000 levels of one pair each, as in long texts: level by level on tables this would take hours."""
     t = trace(spark, {"u": [(fp(i), 1) for i in range(5000)]})
